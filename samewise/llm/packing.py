@@ -24,7 +24,7 @@ from samewise.session import written
 CAPACITY = 4096
 END_ID = 1
 #: Words that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 class WordBpe:
@@ -116,7 +116,7 @@ def pieces(path: str, capacity: int = CAPACITY, end_id: int = END_ID, encoder: C
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, task = WordCache(encoder(path)), TaskContext.get().partitionId()
-        for block, table in enumerate(slices(batches, most_bytes=2 << 20)):
+        for block, table in enumerate(slices(batches, most_bytes=4 << 20)):
             flat, bounds = cache.ids(Words(table["text"]))
             rows: list[tuple] = []
             for doc, a, b in zip(table["doc_id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
