@@ -32,16 +32,45 @@ LEAF = 64
 SLACK = 1e-6
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    flat = column.flatten() if isinstance(column, pa.Array) else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of packed doubles as a matrix."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+
+
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sound vectors as packed doubles, over their greatest component (so that no square overflows or vanishes; cosines stay); others as null."""
+    for b in batches:
+        column = b["embedding"].cast(pa.list_(pa.float64()))
+        offsets = column.offsets.to_numpy()
+        flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null components become nan
+        valid = column.is_valid().to_pylist()
+        out: list[bytes | None] = []
+        for i, ok in enumerate(valid):
+            v = flat[offsets[i] : offsets[i + 1]]
+            ok = ok and len(v) and np.isfinite(v).all() and v.any()
+            out.append((v / np.abs(v).max() + 0.0).astype("<f8").tobytes() if ok else None)
+        yield record_batch(["vec_id", "v"], [b["vec_id"].cast(pa.int64()), pa.array(out, pa.binary())])
+
+
+def _cells(axes: np.ndarray, eps: float, grid: int):
+    """Adds the grid cell on the leading axes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b["v"])
+                cell = np.floor((x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[:, :grid] / eps).astype(np.int64)
+                yield record_batch(["id", "n", "v", "cell"], [b["id"], b["n"], b["v"], pa.array(cell.tolist(), pa.list_(pa.int64()))])
+
+    return work
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:
         if b.num_rows:
-            x = _matrix(b["v"], len(b["v"][0]))
+            x = _matrix(b["v"])
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             part = [len(x), x.sum(0), x.T @ x]
             total = part if total is None else [p + q for p, q in zip(total, part, strict=True)]
@@ -107,7 +136,7 @@ def _block_rows(axes: np.ndarray, eps: float, grid: int, size: int):
 
         def block(t: pa.Table) -> pa.RecordBatch:
             nonlocal k
-            x = _matrix(t["v"], axes.shape[0])
+            x = _matrix(t["v"])
             y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes[:, :grid]
             k += 1
             low, high = y.min(0), y.max(0)
@@ -178,21 +207,17 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, grid_axes: int =
     rows count as further vectors. Rows without vec_id are returned, linked with nothing.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sound = "vec_id is not null and v is not null and size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(c) < double('infinity')) and exists(v, c -> c <> 0)"
-    rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
-    widths = rows.where("sound").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_scaled, "vec_id long, v binary")
+    rows = written(rows.withColumn("v", F.when(F.col("vec_id").isNotNull(), F.col("v"))), "scaled")
+    widths = rows.where("v is not null").groupBy((F.octet_length("v") / 8).cast("int").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     width = widths[0]["w"] if widths else 1
-    rows = rows.withColumn("v", F.when(F.col("sound") & (F.size("v") == width), F.col("v"))).drop("sound")
-    # scaled by the greatest component, so that no square overflows or vanishes; cosines do not change
-    rows = rows.withColumn("v", F.expr("transform(v, c -> c / array_max(transform(v, d -> abs(d))))"))
+    rows = rows.withColumn("v", F.when(F.octet_length("v") == 8 * width, F.col("v")))
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
     nodes = written(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vectors")
     axes = principal_axes(nodes, width)
     grid = min(grid_axes, width)
-    lead = F.array(*[F.floor(F.expr(f"aggregate(zip_with(v, array({','.join(f'double({float(c)!r})' for c in axes[:, k])}), (p, q) -> p * q), double(0), (s, t) -> s + t) / sqrt(aggregate(v, double(0), (s, t) -> s + t * t))") / eps) for k in range(grid)])
     total = nodes.count()
-    ordered = nodes.withColumn("cell", lead).repartitionByRange(max(1, -(-total // (8 * block))), *[F.col("cell")[k] for k in range(grid)], "id").sortWithinPartitions(*[F.col("cell")[k] for k in range(grid)], "id")
+    ordered = nodes.select("id", "n", "v").mapInArrow(_cells(axes, eps, grid), "id long, n long, v binary, cell array<long>").repartitionByRange(max(1, -(-total // (8 * block))), *[F.col("cell")[k] for k in range(grid)], "id").sortWithinPartitions(*[F.col("cell")[k] for k in range(grid)], "id")
     blocks = written(ordered.select("id", "n", "v").mapInArrow(_block_rows(axes, eps, grid, block), "block long, low array<double>, high array<double>, ids binary, n binary, x binary"), "blocks", codec="none")
     cells = blocks.select("block", "low", "high").withColumn("c", F.expr(f"sequence(cast(floor(low[0] / {eps!r}) as int), cast(floor(high[0] / {eps!r}) as int))"))
     near = cells.select("block", "low", "high", F.explode(F.expr("sequence(element_at(c, 1) - 1, element_at(c, -1) + 1)")).alias("c"))
