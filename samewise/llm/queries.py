@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,11 +40,30 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def held_out() -> Column:
+    """crc32 of doc_id as text, modulo 5, is 0; a null id counts as held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    from samewise.llm.toxicity import fit
+
+    return fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from samewise.llm.toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from samewise.llm.packing import best_fit_packing
 
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_embedding_links, op5_minhash_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_embedding_links, op5_minhash_dedup, op6_toxicity, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op4_embedding_links": OP4_SQL}

@@ -85,11 +85,27 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw, bounds - bounds[0]
 
 
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
+
+
+def plain_letters(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of as many bytes: A-Z and the capitals U+00C0-U+00DE in lower case, ASCII signs as spaces."""
+    out = _PLAIN[raw]
+    at = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    at = at[(raw[at] >= 0x80) & (raw[at] <= 0x9E) & (raw[at] != 0x97)]
+    out[at] += 32
+    return out
+
+
 class Words:
     """All words of some texts: starts and ends in the byte buffer, text number and hash of each, and each text's first word."""
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray):
+    def __init__(self, column: pa.Array | pa.ChunkedArray, plain: bool = False):
         self.raw, bounds = text_buffer(column)
+        if plain:
+            self.raw = plain_letters(self.raw)
         n = len(self.raw)
         solid = ~SPACE[self.raw]
         first = np.empty(n, bool)
