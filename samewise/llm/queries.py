@@ -59,11 +59,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from samewise.llm.quality import fit, quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs, fit(docs)).drop("text")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from samewise.llm.packing import best_fit_packing
 
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_embedding_links, op5_minhash_dedup, op6_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_embedding_links, op5_minhash_dedup, op6_toxicity, op9_quality, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op4_embedding_links": OP4_SQL}
