@@ -17,6 +17,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from samewise.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from samewise.llm.sentencepieces import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 def op4_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from samewise.llm.embedding_dedup import embedding_links
 
@@ -59,6 +71,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from samewise.llm.media_audio import audio_roundtrip
+
+    return audio_roundtrip(table(spark, sf_dir, "documents")).drop("seek_offsets")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from samewise.llm.warc import warc_roundtrip
+
+    return warc_roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from samewise.llm.quality import fit, quality
 
@@ -72,5 +96,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_embedding_links, op5_minhash_dedup, op6_toxicity, op9_quality, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_sentencepiece, op4_embedding_links, op5_minhash_dedup, op6_toxicity, op7_media_audio, op8_warc, op9_quality, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op4_embedding_links": OP4_SQL}
