@@ -1,4 +1,4 @@
 """The registered queries and the SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from samewise.plans import blocks, relations, texts  # noqa: F401
+from samewise.plans.registry import ORACLES, QUERIES  # noqa: F401
