@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,9 +199,24 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(["a", "b"], [found[0], found[1]])
 
 
+def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, for a shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        yield record_batch(["doc_id", "text"], [b["doc_id"], pa.array([pack((t or "").encode()) for t in b["text"].to_pylist()], pa.binary())])
+
+
+def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            yield record_batch(["id", "text"], [part["id"], pa.array([unpack(x).decode() for x in part["text"].to_pylist()], pa.large_string())])
+
+
 def shingle_blobs(words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(batches):
+        for table in slices(unzipped(batches)):
             h, t, _ = shingle_sets(table["text"], words)
             h = (h >> np.uint64(32)).astype(np.uint32)
             ends = np.searchsorted(t, np.arange(table.num_rows + 1))
@@ -249,7 +265,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     hub = heads.join(heads.groupBy("key").agg(F.min("id").alias("hub")), "key").select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b")
     pairs = written(pairs.unionByName(hub).distinct(), "pairs")
     touched = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    led = texts.join(touched.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+    small = texts.where("doc_id is not null").mapInArrow(zipped, "doc_id long, text binary")
+    led = small.join(touched.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
     sets = written(led.mapInArrow(shingle_blobs(words), "id long, shingles binary"), "shingles")
     sets_b, sets_a = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     links = written(pairs.join(sets_b, "b").join(sets_a, "a").select("a", "b", "sa", "sb").mapInArrow(checked(similarity), "a long, b long"), "links")
