@@ -151,7 +151,7 @@ def jaro_winkler(a: str, b: str) -> float:
     m = len(left)
     if not m:
         return 0.0
-    moved = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) / 2
+    moved = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     same = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
     return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro

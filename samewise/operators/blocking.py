@@ -48,7 +48,11 @@ def cell_pairs(df: DataFrame, key: str, cell: Sequence[str], most: int, values:
     left = small.select(*cell, F.col(key).alias("id_1"), *[F.col(v).alias(f"{v}_1") for v in values])
     right = small.select(*cell, F.col(key).alias("id_2"), *[F.col(v).alias(f"{v}_2") for v in values])
     within = left.join(right, list(cell)).where("id_1 < id_2").drop(*cell)
-    large = sorted_neighbours(sized.where(F.col("cell_rows") > most), key, cell, [key], most, values).drop("step")
+    # larger cells: places in one order of the whole table, joined by blocks of places, so that no task holds a cell
+    place = ranked(sized.where(F.col("cell_rows") > most).select(key, *cell, *values), [*cell, key], "cell_place").withColumn("_block", F.floor(F.col("cell_place") / most))
+    first = place.select(*cell, F.col(key).alias("id_1"), *[F.col(v).alias(f"{v}_1") for v in values], F.col("cell_place").alias("_p1"), F.explode(F.array(F.col("_block"), F.col("_block") + 1)).alias("_block"))
+    second = place.select(*cell, F.col(key).alias("id_2"), *[F.col(v).alias(f"{v}_2") for v in values], F.col("cell_place").alias("_p2"), "_block")
+    large = first.join(second, [*cell, "_block"]).where((F.col("_p2") > F.col("_p1")) & (F.col("_p2") <= F.col("_p1") + most))
     return within.unionByName(large.select(within.columns))
 
 

@@ -59,12 +59,12 @@ def left_out(df: DataFrame, features: Sequence[str], label: str, folds: str, k:
     return [(f, out_of_fold(df, [g for g in features if g != f], label, folds, k, trees)[0]) for f in features]
 
 
-def cascade(df: DataFrame, cheap: Sequence[str], full: Sequence[str], label: str, folds: str, k: int, keep_above: float = 0.0075) -> DataFrame:
+def cascade(df: DataFrame, cheap: Sequence[str], full: Sequence[str], label: str, folds: str, k: int, keep_above: float = 0.0075, trees: int = 20) -> DataFrame:
     """Scores of a model of cheap features choose the rows that a model of all features scores: level_1 and score (level_1 where not chosen)."""
     from samewise.session import written
 
-    first, _ = out_of_fold(df, cheap, label, folds, k)
+    first, _ = out_of_fold(df, cheap, label, folds, k, trees)
     first = written(first.withColumnRenamed("score", "level_1"), "level-1")
-    second, _ = out_of_fold(first.where(F.col("level_1") > keep_above), full, label, folds, k)
+    second, _ = out_of_fold(first.where(F.col("level_1") > keep_above), full, label, folds, k, trees)
     rest = first.where(F.col("level_1") <= keep_above).withColumn("score", F.col("level_1"))
     return second.select(rest.columns).unionByName(rest)

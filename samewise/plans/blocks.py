@@ -58,7 +58,8 @@ def grid_shift_blocks(spark: SparkSession, d: str) -> DataFrame:
 def cell_name_block(spark: SparkSession, d: str) -> DataFrame:
     rows = parts(spark, d).withColumn("cell", F.col("size") % 10)
     pairs = blocking.cell_pairs(rows, "id", ["brand", "cell"], 300, ["name"])
-    return pairs.where(similarity.common_substring(F.col("name_1"), F.col("name_2")) >= 5).select("id_1", "id_2")
+    longest = similarity.kernel("int", similarity.longest_substring)(F.col("name_1"), F.col("name_2"))
+    return pairs.withColumn("lcs2", longest).where("lcs2 >= 5").select("id_1", "id_2")
 
 
 @query(
