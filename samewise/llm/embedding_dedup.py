@@ -4,7 +4,8 @@ Unit vectors of cosine >= c lie within eps = sqrt(2 - 2c) of each other. Vectors
 (a rotation keeps distances) and sorted by the grid cells, of side eps, of the leading axes. Consecutive vectors form
 blocks; two blocks meet only if their cells and boxes come within eps. Within a task two blocks are joined recursively:
 each is halved while its bounding box is far enough from the other's to be skipped or large enough to be halved, and what
-is left is compared by cosine in double precision. No pair of vectors within eps is skipped.
+is left is compared on the leading axes first (with the length of the rest, which bounds the cosine), then by cosine in
+double precision. No pair of vectors within eps is skipped.
 
 Equal vectors are one row with a count. Counts of links are sums over block pairs; classes come from spanning links.
 """
@@ -26,8 +27,10 @@ from samewise.session import written
 
 COSINE = 0.9
 GRID_AXES = 4
-BLOCK = 1024
-LEAF = 64
+BLOCK = 4096
+LEAF = 1024
+#: Leading axes that are looked at before all of them.
+HEAD = 16
 #: Rounding of boxes and cells may not exclude a pair: distances are compared with this much more.
 SLACK = 1e-6
 
@@ -39,7 +42,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sound vectors as packed doubles, over their greatest component (so that no square overflows or vanishes; cosines stay); others as null."""
+    """Sound vectors as packed doubles, over a power of two (so that no square overflows or vanishes; cosines stay); others as null."""
     for b in batches:
         column = b["embedding"].cast(pa.list_(pa.float64()))
         offsets = column.offsets.to_numpy()
@@ -49,7 +52,7 @@ def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, ok in enumerate(valid):
             v = flat[offsets[i] : offsets[i + 1]]
             ok = ok and len(v) and np.isfinite(v).all() and v.any()
-            out.append((v / np.abs(v).max() + 0.0).astype("<f8").tobytes() if ok else None)
+            out.append((np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) + 0.0).astype("<f8").tobytes() if ok else None)
         yield record_batch(["vec_id", "v"], [b["vec_id"].cast(pa.int64()), pa.array(out, pa.binary())])
 
 
@@ -90,28 +93,50 @@ def principal_axes(vectors: DataFrame, width: int) -> np.ndarray:
 
 
 class Part:
-    """Consecutive vectors of a block: values (as given), lengths, places on the principal axes, counts, and the box around them."""
+    """Consecutive vectors of a block: values (as given), lengths, places on the principal axes, counts, and the box around them.
+
+    head is each unit vector's place on the first HEAD axes and the length of what is left of it: the product of two heads
+    is no less than the cosine.
+    """
 
     def __init__(self, x, length, y, ids, n):
         self.x, self.length, self.y, self.ids, self.n = x, length, y, ids, n
         self.low, self.high = y.min(0), y.max(0)
 
+    def take(self, i) -> Part:
+        return Part(self.x[i], self.length[i], self.y[i], self.ids[i], self.n[i])
+
+    def head(self) -> np.ndarray:
+        rest = np.sqrt((self.y[:, HEAD:].astype(np.float64) ** 2).sum(1))
+        return np.column_stack([self.y[:, :HEAD], rest]).astype(np.float32)
+
     def halves(self) -> tuple[Part, Part]:
         """Split where the box is longest."""
         axis = int((self.high - self.low).argmax())
         order = np.argpartition(self.y[:, axis], len(self.ids) // 2)
         cut = len(order) // 2
-        return tuple(Part(self.x[i], self.length[i], self.y[i], self.ids[i], self.n[i]) for i in (order[:cut], order[cut:]))
+        return self.take(order[:cut]), self.take(order[cut:])
+
+
+def compare(a: Part, b: Part, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with that cosine, in double precision; heads rule most others out."""
+    near = a.head() @ b.head().T >= cosine - SLACK * 100
+    i, j = np.nonzero(np.triu(near, 1) if same else near)
+    if len(i) > near.size // 20:
+        found = (a.x @ b.x.T) / (a.length[:, None] * b.length[None, :]) >= cosine
+        return np.nonzero(np.triu(found, 1) if same else found)
+    keep = [np.einsum("ij,ij->i", a.x[i[k : k + 65536]], b.x[j[k : k + 65536]]) / (a.length[i[k : k + 65536]] * b.length[j[k : k + 65536]]) >= cosine for k in range(0, len(i), 65536)]
+    good = np.concatenate(keep) if keep else np.zeros(0, bool)
+    return i[good], j[good]
 
 
 def join_parts(a: Part, b: Part, eps: float, cosine: float, same: bool, out: list) -> None:
-    """Adds (ids of a, ids of b) of all pairs with that cosine."""
+    """Adds (ids of a, ids of b, counts of a, counts of b) of all pairs with that cosine."""
     gap = np.maximum(0, np.maximum(a.low - b.high, b.low - a.high))
     if (gap**2).sum() > eps * eps:
         return
     if len(a.ids) <= LEAF and len(b.ids) <= LEAF:
-        found = (a.x @ b.x.T) / (a.length[:, None] * b.length[None, :]) >= cosine
-        i, j = np.nonzero(np.triu(found, 1) if same else found)
+        i, j = compare(a, b, cosine, same)
         if len(i):
             out.append((a.ids[i], b.ids[j], a.n[i], b.n[j]))
         return
@@ -128,6 +153,13 @@ def join_parts(a: Part, b: Part, eps: float, cosine: float, same: bool, out: lis
             join_parts(a, q, eps, cosine, False, out)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Packed values, in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        single = x.astype("<f4")
+    return single.tobytes() if (single == x).all() else x.astype("<f8").tobytes()
+
+
 def _block_rows(axes: np.ndarray, eps: float, grid: int, size: int):
     """Rows in grid order become blocks: id, corners of the box on the grid axes, and the vectors."""
 
@@ -142,7 +174,7 @@ def _block_rows(axes: np.ndarray, eps: float, grid: int, size: int):
             low, high = y.min(0), y.max(0)
             return record_batch(["block", "low", "high", "ids", "n", "x"], [
                 pa.array([(task << 32) + k], pa.int64()), pa.array([low.tolist()], pa.list_(pa.float64())), pa.array([high.tolist()], pa.list_(pa.float64())),
-                pa.array([t["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([t["n"].to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary()),
+                pa.array([t["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([t["n"].to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([_narrow(x)], pa.binary()),
             ])
 
         rows = 0
@@ -179,9 +211,11 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _join_blocks(axes: np.ndarray, eps: float, cosine: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def part(b, i, side) -> Part:
-            x = np.frombuffer(b[f"x{side}"][i].as_buffer(), "<f8").reshape(-1, axes.shape[0])
+            ids = np.frombuffer(b[f"ids{side}"][i].as_buffer(), "<i8")
+            raw = b[f"x{side}"][i].as_buffer()
+            x = np.frombuffer(raw, "<f4" if raw.size == 4 * len(ids) * axes.shape[0] else "<f8").astype(np.float64).reshape(len(ids), -1)
             length = np.sqrt((x * x).sum(1))
-            return Part(x, length, (x / length[:, None]) @ axes, np.frombuffer(b[f"ids{side}"][i].as_buffer(), "<i8"), np.frombuffer(b[f"n{side}"][i].as_buffer(), "<i8"))
+            return Part(x, length, (x / length[:, None]) @ axes, ids, np.frombuffer(b[f"n{side}"][i].as_buffer(), "<i8"))
 
         for b in batches:
             for i in range(b.num_rows):
