@@ -1,7 +1,7 @@
 """MPEG audio columns: a writer that carries bytes in valid frames, and a parser of MPEG audio streams.
 
-The parser finds frames again after foreign bytes (a header counts if the next one follows where it says, or the stream
-ends there), reads ID3v2 and ID3v1 tags and Xing, Info and VBRI tables, checks the 16-bit checksums of protected frames,
+The parser finds frames again after foreign bytes (a header counts if the next one follows where it says, if the stream
+ends there, or if it follows a frame of its kind), reads ID3v2 and ID3v1 tags and Xing, Info and VBRI tables, checks the 16-bit checksums of protected frames,
 and gives exact durations (samples over the sampling rate) and the byte offset of each frame.
 
 The writer stores a payload of whole units of 576 bytes as MPEG-2 Layer III frames of 576 samples: each frame is silent
@@ -66,6 +66,10 @@ class Frame:
     mono: bool
     protected: bool
 
+    def like(self, other: Frame) -> bool:
+        """Whether both are of one stream, whose bit rate may change."""
+        return (self.version, self.layer, self.rate, self.mono, self.protected) == (other.version, other.layer, other.rate, other.mono, other.protected)
+
     @property
     def side(self) -> int:
         return SIDE[1 if self.version == 3 else 2, self.mono] if self.layer == 3 else 0
@@ -145,7 +149,11 @@ class Stream:
 
     @property
     def seconds(self) -> float:
-        return sum(f.samples / f.rate for f in self.audio)
+        """Samples over the sampling rate; summed by rate, so that no rounding adds up."""
+        samples: dict[int, int] = {}
+        for f in self.audio:
+            samples[f.rate] = samples.get(f.rate, 0) + f.samples
+        return sum(n / rate for rate, n in sorted(samples.items()))
 
     @property
     def offsets(self) -> list[int]:
@@ -179,7 +187,7 @@ def parse(data: bytes) -> Stream:
     sound = False  # whether the frame before ends here
     while at + 4 <= end:
         frame = parse_header(data, at)
-        if frame is not None and at + frame.size <= end and (sound or at + frame.size == end or parse_header(data, at + frame.size) is not None):
+        if frame is not None and at + frame.size <= end and (at + frame.size == end or parse_header(data, at + frame.size) is not None or (sound and frame.like(out.frames[-1]))):
             if not out.frames:
                 out.table = parse_table(data, frame)
             held = checksum_holds(data, frame)
