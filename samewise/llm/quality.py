@@ -25,6 +25,8 @@ TRAIN_DOCS = 10_000
 BUCKETS = 1 << 13
 EPOCHS = 6
 BAD, NONE, GOOD = 0, 1, 2
+#: How often a labeller is taken, before the votes are seen, to vote bad on a good document.
+FALSE_ALARMS = 0.003
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 256)]] = True
 SIGN = np.array([b < 128 and not chr(b).isalnum() and not SPACE[b] for b in range(256)])
@@ -122,21 +124,26 @@ def expectation_maximisation(v: np.ndarray, n: np.ndarray, rounds: int = 200) ->
     """From vote patterns and their counts.
 
     Priors are Dirichlet: a labeller finds its own reason nine times in ten, with the weight of a twentieth of all
-    documents, so that a reason can't come to stand for something else; votes on other classes have a weak prior.
+    documents, so that a reason can't come to stand for something else, and it votes bad on a good document three times in
+    a thousand, with the weight of half of all documents; other votes have a weak prior.
     """
     k = v.shape[1]
     total = max(float(n.sum()), 1.0)
     prior = np.ones((k + 1, k, 3)) * np.array([0.5, 0.5, 2.0])
-    prior[0] *= np.array([0.2, 1.0, 2.0])
     own = np.arange(k)
     prior[1 + own, own] = np.array([0.9, 0.07, 0.03]) * (10 + 0.05 * total)
-    model = LabelModel(np.append(0.85, np.full(k, 0.15 / k)), prior / prior.sum(2, keepdims=True))
+    begin = prior / prior.sum(2, keepdims=True)
+    begin[0] = [FALSE_ALARMS, 0.2, 0.8 - FALSE_ALARMS]
+    model = LabelModel(np.append(0.85, np.full(k, 0.15 / k)), begin)
     for _ in range(rounds):
         p = model.classes(v) * n[:, None]
         table = prior.copy()
         for vote in (BAD, NONE, GOOD):
             table[:, :, vote] += p.T @ (v == vote)
         table /= table.sum(2, keepdims=True)
+        false_alarms = (p[:, 0] @ (v == BAD) + FALSE_ALARMS * total / 2) / (p[:, 0].sum() + total / 2)
+        table[0] *= ((1 - false_alarms) / np.maximum(1e-12, 1 - table[0, :, BAD]))[:, None]
+        table[0, :, BAD] = false_alarms
         moved = abs(table - model.table).max()
         model = LabelModel((p.sum(0) + 1) / (p.sum() + k + 1), table)
         if moved < 1e-7:
