@@ -72,7 +72,7 @@ def member(data: bytes) -> bytes:
 
 
 def write_files(folder: str, roll_bytes: int):
-    """For mapInArrow over sorted rows (page_id, url, payload, first_id, first_url): writes files, gives the manifest's rows."""
+    """For mapInArrow over sorted rows (page_id, url, key, kind, payload, first_id, first_url): writes files, gives the manifest's rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -82,6 +82,7 @@ def write_files(folder: str, roll_bytes: int):
         task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         made: list[tuple[str, int, int]] = []
         out, size, rows = io.BytesIO(), 0, 0
+        note: tuple | None = None  # which page is a revisit, and of what
 
         def close() -> None:
             nonlocal out, size, rows
@@ -94,7 +95,11 @@ def write_files(folder: str, roll_bytes: int):
 
         info = member(VERSION + b"\r\nWARC-Type: warcinfo\r\nWARC-Date: " + DATE.encode() + b"\r\nWARC-Record-ID: " + record_id(-1 - task, "info").encode() + b"\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
         for b in batches:
-            for page_id, url, payload, first_id, first_url in zip(*(b[c].to_pylist() for c in ("page_id", "url", "payload", "first_id", "first_url")), strict=True):
+            for page_id, url, key, kind, payload, first_id, first_url in zip(*(b[c].to_pylist() for c in ("page_id", "url", "key", "kind", "payload", "first_id", "first_url")), strict=True):
+                if kind == 0:
+                    note = ((page_id, url, key), first_id, first_url)
+                    continue
+                first_id, first_url = note[1:] if note and note[0] == (page_id, url, key) else (None, None)
                 data = member(record(page_id, url, payload, first_id, first_url))
                 if size and size + len(data) > roll_bytes:
                     close()
@@ -179,9 +184,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     rows = rows.withColumn("key", F.sha1("payload"))
     named = rows.where("page_id is not null").where(F.octet_length("payload") >= least_bytes)
     first = named.groupBy("key").agg(F.min(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    shared = rows.join(first, "key", "left").withColumn("again", F.col("page_id").isNotNull() & F.col("first").isNotNull() & (F.octet_length("payload") >= least_bytes) & ((F.col("page_id") > F.col("first.page_id")) | (F.coalesce("url", F.lit("")) > F.col("first.url"))))
-    ready = shared.select("page_id", "url", "payload", F.when(F.col("again"), F.col("first.page_id")).alias("first_id"), F.when(F.col("again"), F.col("first.url")).alias("first_url"))
-    sorted_rows = (ready.repartitionByRange(files, "page_id") if files else ready.repartitionByRange("page_id")).sortWithinPartitions("page_id", "url")
+    # payloads are shuffled once, by range; a note that a page is a revisit, without payload, stands before its page
+    again = (F.col("page_id") > F.col("first.page_id")) | (F.coalesce("url", F.lit("")) > F.col("first.url"))
+    notes = named.drop("payload").distinct().join(first, "key").where(again).select("page_id", "url", "key", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    ready = rows.select("page_id", "url", "key", F.lit(1).alias("kind"), "payload", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url")).unionByName(notes)
+    sorted_rows = (ready.repartitionByRange(files, "page_id") if files else ready.repartitionByRange("page_id")).sortWithinPartitions("page_id", "url", "key", "kind")
     manifest = sorted_rows.mapInArrow(write_files(folder, roll_bytes), "name string, records long, bytes long")
     manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
     return spark.read.schema("name string, records long, bytes long").parquet(f"{folder}/_manifest"), folder
