@@ -17,6 +17,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+firsts AS (SELECT k, min(doc_id) AS m FROM p GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT p.doc_id, p.i FROM p JOIN firsts USING (k) WHERE m < p.doc_id), range(13) r(j)),
+each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from samewise.llm.token_counts import token_counts
 
@@ -83,6 +94,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(table(spark, sf_dir, "pages"))
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), f AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload),
+b AS (SELECT page_id, payload, first, array_to_string(list_transform(range(1, 41), lambda h: lpad(bin(instr('0123456789abcdef', substr(sha1(payload), h, 1)) - 1), 4, '0')), '') AS bits FROM p JOIN f USING (payload))
+SELECT page_id, strlen(payload) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda k: CAST(substr(bits, 5 * j + k, 1) AS INT) * CAST(pow(2, 5 - k) AS INT)))::INT, 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from samewise.llm.quality import fit, quality
 
@@ -97,4 +116,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_sentencepiece, op4_embedding_links, op5_minhash_dedup, op6_toxicity, op7_media_audio, op8_warc, op9_quality, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {"op4_embedding_links": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op4_embedding_links": OP4_SQL, "op8_warc": OP8_SQL}
