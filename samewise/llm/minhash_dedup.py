@@ -6,8 +6,9 @@ one of least rank counts. Two sets agree in a coordinate with a probability that
 About k log k darts are looked at for each set, whatever its size.
 
 Copies with equal shingle sets are one node. Nodes that share a band of coordinates are compared by their whole
-signatures within buckets (large buckets are salted; none is held whole by a task and no bucket gives all its pairs), the
-most likely pairs are then checked exactly on their shingles, and classes are the connected components of the links.
+signatures within buckets (large buckets are salted; none is held whole by a task). The most likely pairs are checked exactly
+on their shingles and linked; then all other likely pairs of a bucket whose ends are in different classes are checked too.
+Classes are the connected components of all links.
 """
 
 from __future__ import annotations
@@ -199,6 +200,52 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(["a", "b"], [found[0], found[1]])
 
 
+def _apart(ids: np.ndarray, classes: np.ndarray, coarse: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Pairs (2 x n) of a first and a second member, of different classes, whose signatures agree by LIKELY."""
+    out = [np.zeros((2, 0), np.int64)]
+    least = LIKELY * coarse.shape[1] - 1e-9
+    for at in range(0, len(first), 64):
+        some = first[at : at + 64]
+        for to in range(0, len(second), 1024):
+            others = second[to : to + 1024]
+            if (classes[others] == classes[some[0]]).all() and (classes[some] == classes[some[0]]).all():
+                continue
+            near = np.count_nonzero(coarse[some][:, None, :] == coarse[others][None, :, :], axis=2) >= least
+            x, y = np.nonzero(near & (classes[some][:, None] != classes[others][None, :]))
+            x, y = ids[some[x]], ids[others[y]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+    return np.unique(np.concatenate(out, axis=1), axis=1)
+
+
+def pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by part (key, salt): all likely pairs of a part whose ends are in different classes."""
+    held: list[np.ndarray] | None = None
+
+    def closed(rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        part, ids, classes, coarse = rows
+        cut = np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1
+        bounds = [0, *cut.tolist(), *([len(part)] if last else [])]
+        out = [np.zeros((2, 0), np.int64)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b - a > 1:
+                every = np.arange(a, b)
+                out.append(_apart(ids, classes, coarse, every, every))
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        held = [x[bounds[-1] :] for x in rows]
+        for at in range(0, found.shape[1], 1 << 20):
+            yield record_batch(["a", "b"], [found[0, at : at + (1 << 20)], found[1, at : at + (1 << 20)]])
+
+    for batch in batches:
+        if batch.num_rows:
+            part = np.stack([batch["key"].to_numpy(), batch["salt"].to_numpy()], axis=1)
+            coarse = np.frombuffer(b"".join(batch["coarse"].to_pylist()), np.uint8).reshape(len(part), -1)
+            rows = [part, batch["id"].to_numpy(), batch["class"].to_numpy(), coarse]
+            yield from closed(rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)], False)
+    if held is not None:
+        yield from closed(held, True)
+
+
 def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for a shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -264,15 +311,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     heads = salted.join(full.where(F.col("n") > 2 * CHUNK).select("key"), "key", "left_semi").groupBy("key", "salt").agg(F.min("id").alias("id"))
     hub = heads.join(heads.groupBy("key").agg(F.min("id").alias("hub")), "key").select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b")
     pairs = written(pairs.unionByName(hub).distinct(), "pairs")
-    touched = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     small = texts.where("doc_id is not null").mapInArrow(zipped, "doc_id long, text binary")
-    led = small.join(touched.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = written(led.mapInArrow(shingle_blobs(words), "id long, shingles binary"), "shingles")
-    sets_b, sets_a = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    links = written(pairs.join(sets_b, "b").join(sets_a, "a").select("a", "b", "sa", "sb").mapInArrow(checked(similarity), "a long, b long"), "links")
-    drop_written(sets)
-    drop_written(pairs)
-    found = components(links)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+    def shingled(touched: DataFrame) -> DataFrame:
+        led = small.join(touched.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
+        return written(led.mapInArrow(shingle_blobs(words), "id long, shingles binary"), "shingles")
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sets_b, sets_a = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+        return written(pairs.join(sets_b, "b").join(sets_a, "a").select("a", "b", "sa", "sb").mapInArrow(checked(similarity), "a long, b long"), "links")
+
+    sets = shingled(ends(pairs))
+    links = linked(pairs, sets)
+    found = written(components(links), "classes")
+    # what the choice left out: all other likely pairs of a bucket between classes (within a class a further link changes nothing)
+    placed = salted.join(full.where("n > 2").select("key"), "key", "left_semi").join(found, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    placed = placed.join(mixed, "key", "left_semi").join(lead.select("id", "coarse"), "id").select("key", "salt", "id", "class", "coarse")
+    apart = placed.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(pairs_apart, "a long, b long").distinct()
+    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = linked(apart, sets)
+    if not more.isEmpty():
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    for done in (sets, pairs, apart):
+        drop_written(done)
     classes = nodes.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.col("row").alias("lead_row"), F.coalesce("component", "doc_id").alias("class_id"))
     named = named.select("row", "doc_id", "node").join(classes, "node")
     alone = drawn.where("node is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))

@@ -81,6 +81,30 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(r["doc_id"] for r in rows if r["kept"]) == sorted(set(want))
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def two_groups(rnd, q, r):
+    """Near copies of Q and of R, each with nearer ones in its own group; only the first of Q and the first of R are at 0.8."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    base, head = [word() for _ in range(204)], [[word(), word()] for _ in range(2)]
+    ends = [base[:-21] + [word() for _ in range(21)] for _ in range(2)]
+    groups = [[e] + [h + e[2:-1] + [word()] for _ in range(n)] for e, h, n in zip(ends, head, (q, r), strict=True)]
+    texts = [[" ".join(w) for w in g] for g in groups]
+    assert jaccard(texts[0][0], texts[1][0]) >= 0.8 > max(jaccard(texts[0][0], texts[1][1]), jaccard(texts[0][1], texts[1][0]), jaccard(texts[0][1], texts[1][1]))
+    return texts[0] + texts[1]
+
+
+def test_groups_in_one_bucket_are_linked_by_a_single_pair(spark):
+    rnd = random.Random(12)
+    texts = [(t, n) for n in range(8) for t in two_groups(rnd, 12, 7)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
+    assert got == {i: n * 21 for i, (_, n) in enumerate(texts)}
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(5, "one two three four five six"), (5, "one two three four five six"), (None, "one two three four five six"), (2, ""), (9, "x")], "doc_id long, text string")
     rows = near_duplicates(df).collect()
