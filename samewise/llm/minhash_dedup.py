@@ -7,7 +7,8 @@ About k log k darts are looked at for each set, whatever its size.
 
 Copies with equal shingle sets are one node. Nodes that share a band of coordinates are compared by their whole
 signatures within buckets (large buckets are salted; none is held whole by a task). The most likely pairs are checked exactly
-on their shingles and linked; then all other likely pairs of a bucket whose ends are in different classes are checked too.
+on their shingles and linked; then all other likely pairs of a bucket whose ends are in different classes are checked too,
+in large buckets block against block.
 Classes are the connected components of all links.
 """
 
@@ -34,6 +35,8 @@ BANDS, ROWS = 24, 5
 CHUNK = 768
 #: Pairs whose signatures agree less are not checked: at similarity 0.8, 120 coordinates fall this low once in ten million.
 LIKELY = 0.6
+#: Most members of a bucket that are compared with as many others by one task in the second round.
+BLOCK = 4096
 FIRST_RANK = 0.25
 
 
@@ -218,19 +221,19 @@ def _apart(ids: np.ndarray, classes: np.ndarray, coarse: np.ndarray, first: np.n
 
 
 def pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by part (key, salt): all likely pairs of a part whose ends are in different classes."""
+    """Over rows sorted by part (key, salt) and side: all likely pairs of different classes of a part's side 0, or of its side 0 with its side 1 if it has one."""
     held: list[np.ndarray] | None = None
 
     def closed(rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held
-        part, ids, classes, coarse = rows
+        part, side, ids, classes, coarse = rows
         cut = np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1
         bounds = [0, *cut.tolist(), *([len(part)] if last else [])]
         out = [np.zeros((2, 0), np.int64)]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a > 1:
-                every = np.arange(a, b)
-                out.append(_apart(ids, classes, coarse, every, every))
+                every, second = np.arange(a, b), side[a:b] == 1
+                out.append(_apart(ids, classes, coarse, every[~second], every[second] if second.any() else every))
         found = np.unique(np.concatenate(out, axis=1), axis=1)
         held = [x[bounds[-1] :] for x in rows]
         for at in range(0, found.shape[1], 1 << 20):
@@ -240,12 +243,32 @@ def pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             part = np.stack([batch["key"].to_numpy(), batch["salt"].to_numpy()], axis=1)
             coarse = np.frombuffer(b"".join(batch["coarse"].to_pylist()), np.uint8).reshape(len(part), -1)
-            rows = [part, batch["id"].to_numpy(), batch["class"].to_numpy(), coarse]
+            rows = [part, batch["side"].to_numpy(), batch["id"].to_numpy(), batch["class"].to_numpy(), coarse]
             yield from closed(rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)], False)
     if held is not None:
         yield from closed(held, True)
 
 
+def blocked(members: DataFrame, counted: DataFrame) -> DataFrame:
+    """(key, salt, side, id, class) of members (key, id, class) for pairs_apart: whole buckets up to BLOCK members, and each two blocks of larger ones.
+
+    Classes of over BLOCK members have blocks of their own, which don't meet one another. counted: key, n.
+    """
+    small = members.join(counted.where(F.col("n") <= BLOCK).select("key"), "key", "left_semi")
+    small = small.select("key", F.lit(0).cast("long").alias("salt"), F.lit(0).alias("side"), "id", "class")
+    sizes = members.join(counted.where(F.col("n") > BLOCK).select("key"), "key", "left_semi").groupBy("key", "class").agg(F.count("*").alias("n"))
+    own = F.when(F.col("n") > BLOCK, F.col("class"))
+    groups = sizes.withColumn("own", own).groupBy("key", "own").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    named = sizes.withColumn("own", own).select("key", "class", "own").join(groups.withColumnRenamed("key", "k").withColumnRenamed("own", "o"), F.expr("key = k and own <=> o")).select("key", "class", "own", "blocks")
+    large = members.join(named, ["key", "class"]).select("key", "id", "class", "own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("nth"))
+    blocks = groups.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("nth"))
+    block = F.struct(F.col("own").isNotNull().alias("single"), F.coalesce("own", F.lit(0).cast("long")).alias("own"), "nth")
+    ordered = blocks.select("key", block.alias("x"))
+    two = ordered.join(ordered.withColumnRenamed("x", "y"), "key").where("x <= y and not (x.single and y.single and x.own = y.own)").withColumn("salt", F.xxhash64("x", "y"))
+    met = two.select("key", "salt", F.col("x").alias("block"), F.lit(0).alias("side")).unionByName(two.where("x < y").select("key", "salt", F.col("y").alias("block"), F.lit(1).alias("side")))
+    return small.unionByName(large.select("key", "id", "class", block.alias("block")).join(met, ["key", "block"]).select("key", "salt", "side", "id", "class"))
+
+
 def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for a shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -307,7 +330,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     salted = keyed.join(full, "key").withColumn("salt", F.when(F.col("n") > 2 * CHUNK, F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / CHUNK))).otherwise(F.lit(0)).cast("long")).select("key", "salt", "id")
     members = salted.join(lead.select("id", "coarse"), "id")
     pairs = members.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(bucket_pairs, "a long, b long")
-    # salted parts of a large bucket: each band deals them otherwise, and their least members are checked too
+    # salted parts of a large bucket: their least members are checked too; pairs of two parts follow below
     heads = salted.join(full.where(F.col("n") > 2 * CHUNK).select("key"), "key", "left_semi").groupBy("key", "salt").agg(F.min("id").alias("id"))
     hub = heads.join(heads.groupBy("key").agg(F.min("id").alias("hub")), "key").select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b")
     pairs = written(pairs.unionByName(hub).distinct(), "pairs")
@@ -324,19 +347,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         sets_b, sets_a = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         return written(pairs.join(sets_b, "b").join(sets_a, "a").select("a", "b", "sa", "sb").mapInArrow(checked(similarity), "a long, b long"), "links")
 
-    sets = shingled(ends(pairs))
+    seen = written(ends(pairs), "ends")
+    sets = shingled(seen)
     links = linked(pairs, sets)
     found = written(components(links), "classes")
     # what the choice left out: all other likely pairs of a bucket between classes (within a class a further link changes nothing)
-    placed = salted.join(full.where("n > 2").select("key"), "key", "left_semi").join(found, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    counted = full.where("n > 2")
+    placed = keyed.join(counted.select("key"), "key", "left_semi").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
     mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    placed = placed.join(mixed, "key", "left_semi").join(lead.select("id", "coarse"), "id").select("key", "salt", "id", "class", "coarse")
-    apart = placed.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(pairs_apart, "a long, b long").distinct()
+    placed = written(placed.join(mixed, "key", "left_semi"), "placed")
+    parts = blocked(placed, placed.groupBy("key").agg(F.count("*").alias("n"))).join(lead.select("id", "coarse"), "id")
+    apart = parts.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(pairs_apart, "a long, b long").distinct()
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = linked(apart, sets)
+    unseen = ends(apart).join(seen, "id", "left_anti")
+    if not unseen.isEmpty():
+        late = shingled(unseen)
+        more = linked(apart, sets.unionByName(late))
+        drop_written(late)
+    else:
+        more = linked(apart, sets)
+    drop_written(placed)
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    for done in (sets, pairs, apart):
+    for done in (sets, pairs, apart, seen):
         drop_written(done)
     classes = nodes.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.col("row").alias("lead_row"), F.coalesce("component", "doc_id").alias("class_id"))
     named = named.select("row", "doc_id", "node").join(classes, "node")

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from samewise.llm import minhash_dedup
 from samewise.llm.embedding_dedup import embedding_links
-from samewise.llm.minhash_dedup import dart_minhash, likely_pairs, near_duplicates
+from samewise.llm.minhash_dedup import blocked, dart_minhash, likely_pairs, near_duplicates
 from samewise.llm.words import mix
 
 
@@ -105,6 +107,29 @@ def test_groups_in_one_bucket_are_linked_by_a_single_pair(spark):
     assert got == {i: n * 21 for i, (_, n) in enumerate(texts)}
 
 
+def test_parts_of_large_buckets_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 8)
+    rnd = random.Random(13)
+    texts = [(t, n) for n in range(6) for t in two_groups(rnd, 40, 40)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for block in (4096, 16):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block, raising=False)
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
+        assert got == {i: n * 82 for i, (_, n) in enumerate(texts)}
+
+
+def test_blocks_hold_each_pair_of_classes_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 10)
+    members = [(k, 1000 * k + i, c) for k, classes in ((1, [7] * 35 + [1, 2, 2, 3]), (2, [5] * 14 + [6] * 23), (3, [1, 2, 2]), (4, list(range(25)))) for i, c in enumerate(classes)]
+    df = spark.createDataFrame(members, "key long, id long, class long")
+    parts = {}
+    for r in blocked(df, df.groupBy("key").agg(F.count("*").alias("n"))).collect():
+        parts.setdefault((r["key"], r["salt"]), ([], []))[r["side"]].append((r["id"], r["class"]))
+    met = [frozenset((x[0], y[0])) for a, b in parts.values() for x, y in (itertools.product(a, b) if b else itertools.combinations(a, 2)) if x[1] != y[1]]
+    assert len(met) == len(set(met)) and set(met) == {frozenset((a[1], b[1])) for a, b in itertools.combinations(members, 2) if a[0] == b[0] and a[2] != b[2]}
+    assert max(len(a) + len(b) for a, b in parts.values()) < 45
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(5, "one two three four five six"), (5, "one two three four five six"), (None, "one two three four five six"), (2, ""), (9, "x")], "doc_id long, text string")
     rows = near_duplicates(df).collect()
