@@ -105,6 +105,19 @@ def tfidf_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.neighbours(weighted, "id", 0.45).withColumn("sim", F.round("sim", 5))
 
 
+@query(
+    """WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS term FROM documents), c AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term),
+    df AS (SELECT term, count(*) AS df FROM c GROUP BY term), w AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM c JOIN df USING (term)),
+    n AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w)
+    SELECT a.id AS id_1, b.id AS id_2, round(sum(a.w * b.w), 5) AS sim FROM n a JOIN n b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.45"""
+)
+def tfidf_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
+    """tfidf_neighbours over whole texts and all terms."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
+    weighted = tfidf.weights(docs, "id", tfidf.words(F.col("name")))
+    return tfidf.whole_neighbours(weighted, "id", 0.45).withColumn("sim", F.round("sim", 5))
+
+
 @query(
     f"""WITH m AS (SELECT a.id AS id_1, b.id AS id_2, sqrt(pow(a.latitude - b.latitude, 2) + pow(a.longitude - b.longitude, 2)) AS dist FROM {_CUSTOMER} a JOIN {_CUSTOMER} b ON a.segment = b.segment AND a.id <> b.id AND abs(a.latitude - b.latitude) <= 10 AND abs(a.longitude - b.longitude) <= 10),
     r AS (SELECT *, row_number() OVER (PARTITION BY id_1 ORDER BY dist, id_2) AS nth FROM m WHERE dist <= 10) SELECT id_1, id_2, round(dist, 6) AS distance, nth FROM r WHERE nth <= 5"""

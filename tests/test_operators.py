@@ -100,6 +100,16 @@ def test_tfidf_neighbours(spark):
     assert [(r["id_1"], r["id_2"]) for r in pairs] == [(1, 2)] and 0.3 < pairs[0]["sim"] < 0.9
 
 
+def test_tfidf_neighbours_of_whole_texts(spark):
+    rnd = random.Random(3)
+    texts = ["common " * 3 + " ".join(f"w{int(rnd.random() ** 3 * 60)}" for _ in range(rnd.randint(1, 90))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0], "", None])), "id long, t string")
+    weighted = tfidf.weights(df, "id", tfidf.words(F.col("t")))
+    for threshold in (0.3, 0.45, 0.9):
+        got, want = ({(r["id_1"], r["id_2"]): round(r["sim"], 9) for r in f(weighted, "id", threshold).collect()} for f in (tfidf.whole_neighbours, tfidf.neighbours))
+        assert got == want and (0, 120) in got
+
+
 def test_files_and_types(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b",\nc', 300), (2, None, -5)], "id int, t string, v int")
     write_csv(df, f"{tmp_path}/c")
