@@ -44,3 +44,10 @@ def test_query_matches_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["block_lcs", "sequence_ratio", "greedy_cluster", "first_touch_cluster_sweep", "sorted_neighbour_url"])
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_number_tokens_are_taken_from_whole_texts(spark, tmp_path):
+    rows = [(1, "x " * 300 + "77 88", "en"), (2, "y " * 300 + "77 88", "en"), (3, "z " * 300 + "99", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id_1"]: (r["num_1"], r["nb_in_name"], r["num_in_name"]) for r in QUERIES["number_tokens_agreement_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: (7788, 0, 3), 2: (7788, -3, -2)}
