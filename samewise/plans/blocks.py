@@ -81,6 +81,17 @@ def bucket_pairs_capped(spark: SparkSession, d: str) -> DataFrame:
     return blocking.bucket_pairs(rows, "id", {"name": 25, "phone": 10, "address": 10})
 
 
+@query(
+    """WITH d AS (SELECT doc_id AS id, text AS name, right(regexp_replace(text, '[^0-9]', '', 'g'), 10) AS phone, CASE WHEN coalesce(text, '') = '' THEN '' ELSE text || '-' || lang END AS address FROM documents),
+    b AS (SELECT id, name AS v, 'n' AS k, 25 AS most FROM d UNION ALL SELECT id, phone, 'p', 10 FROM d UNION ALL SELECT id, address, 'a', 10 FROM d), r AS (SELECT k, v FROM b WHERE v <> '' GROUP BY k, v, most HAVING count(*) > 1 AND count(*) <= most)
+    SELECT DISTINCT x.id AS id_1, y.id AS id_2 FROM b x JOIN r USING (k, v) JOIN b y USING (k, v) WHERE x.id < y.id"""
+)
+def bucket_pairs_capped_whole(spark: SparkSession, d: str) -> DataFrame:
+    """bucket_pairs_capped with whole texts as keys, and the last digits of whole texts."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.right(F.regexp_replace(F.col("text"), "[^0-9]", ""), F.lit(10)).alias("phone"), text.address_key(F.col("text"), F.col("lang")).alias("address"))
+    return blocking.bucket_pairs(rows, "id", {"name": 25, "phone": 10, "address": 10})
+
+
 @query(
     """WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS r1, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS r2, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r3 FROM part),
     u AS (SELECT a.p_partkey AS x, b.p_partkey AS y FROM p a JOIN p b ON a.p_brand = b.p_brand AND b.r1 = a.r1 + 1 UNION ALL SELECT a.p_partkey, b.p_partkey FROM p a JOIN p b ON a.p_brand = b.p_brand AND b.r2 = a.r2 + 1),
@@ -159,6 +170,17 @@ def sorted_neighbour_digits(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(similarity.same_beginning(F.col("phone_1"), F.col("phone_2"), 7) == 1).select("id_1", "id_2")
 
 
+@query(
+    """WITH d AS (SELECT doc_id AS id, lang, source, right(regexp_replace(text, '[^0-9]', '', 'g'), 10) AS phone FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY phone, source, id) AS rn FROM d WHERE phone <> '')
+    SELECT a.id AS id_1, b.id AS id_2 FROM r a JOIN r b ON a.lang = b.lang AND b.rn BETWEEN a.rn + 1 AND a.rn + 10 WHERE left(a.phone, 7) = left(b.phone, 7) AND length(a.phone) >= 7"""
+)
+def sorted_neighbour_digits_whole(spark: SparkSession, d: str) -> DataFrame:
+    """sorted_neighbour_digits by the last digits of whole texts."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.right(F.regexp_replace(F.col("text"), "[^0-9]", ""), F.lit(10)).alias("phone")).where("phone <> ''")
+    pairs = blocking.sorted_neighbours(rows, "id", ["lang"], ["phone", "source", "id"], 10, ["phone"])
+    return pairs.where(similarity.same_beginning(F.col("phone_1"), F.col("phone_2"), 7) == 1).select("id_1", "id_2")
+
+
 @query()
 def sorted_neighbour_subsequence(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours by phone digits with a common subsequence of seven."""

@@ -51,3 +51,10 @@ def test_number_tokens_are_taken_from_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["id_1"]: (r["num_1"], r["nb_in_name"], r["num_in_name"]) for r in QUERIES["number_tokens_agreement_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: (7788, 0, 3), 2: (7788, -3, -2)}
+
+
+def test_digits_are_taken_from_whole_texts(spark, tmp_path):
+    rows = [(1, "a 1111111111 " + "x " * 2000 + "5550001234", "en", "s"), (2, "b 3333333333 " + "y " * 2000 + "5550001234", "en", "s"), (3, "same words at the start 9", "en", "s"), (4, "same words at the start 8", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("sorted_neighbour_digits_whole", "bucket_pairs_capped_whole"):
+        assert [(r["id_1"], r["id_2"]) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(1, 2)]
