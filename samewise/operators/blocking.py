@@ -74,6 +74,46 @@ def circular_shifts(rows: DataFrame, key: str, rank: str, total: int, shifts: Se
     return ahead.join(rows.select(F.col(key).alias("id_2"), F.col(rank).alias("_r")), "_r").drop("_r")
 
 
+def name_rule(a: Column, b: Column, substring: float, subsequence: float, last: int) -> Column:
+    """One name's first four characters in the other, a common substring or subsequence of so much of the mean length, or equal last characters."""
+    from samewise.functions import similarity
+
+    mean = (F.length(a) + F.length(b)) / 2
+    longest = [similarity.kernel("int", f)(a, b) for f in (similarity.longest_substring, similarity.longest_subsequence)]
+    ends = (F.length(a) >= last) & (F.length(b) >= last) & (F.right(a, F.lit(last)) == F.right(b, F.lit(last)))
+    return (similarity.begins_inside(a, b) == 1) | ((mean > 0) & ((longest[0] >= substring * mean) | (longest[1] >= subsequence * mean))) | ends
+
+
+def shifted_pairs(df: DataFrame) -> DataFrame:
+    """(id_1, id_2, shift, source) of the circular shifts W10-W13 over the whole table, with their rules of distance and name.
+
+    df: id, name, category, country, latitude, longitude, and the category's usual distances q90 and q99. The first of a pair gives q90 and q99.
+    """
+    from samewise.functions import geo
+
+    values = ["name", "category", "latitude", "longitude"]
+    df = df.withColumns({"name": F.coalesce("name", F.lit("")), "lat0": F.round("latitude"), "lon0": F.round("longitude"), "lat2": F.round("latitude", 2), "lon2": F.round("longitude", 2)})
+    near = ["lat0", "lon0", "name", "latitude", "category", "country", "id"]
+    total = df.count()
+    found = []
+    for source, order, shifts in (("W11", near, range(1, 15)), ("W12", ["country", "lat2", "lon2", "category", "id"], range(1, 107)), ("W13", ["category", *near], range(1, 50))):
+        pairs = circular_shifts(ranked(df.select("id", *[c for c in order if c != "id"]), order), "id", "rank", total, list(shifts))
+        for i, more in ((1, ["q90", "q99"]), (2, [])):
+            pairs = pairs.join(df.select(F.col("id").alias(f"id_{i}"), *[F.col(v).alias(f"{v}_{i}") for v in values], *more), f"id_{i}")
+        metres = geo.coarse_metres(*[F.col(f"{c}_{i}").cast("double") for i in (1, 2) for c in ("latitude", "longitude")])
+        pairs, shift, same = pairs.withColumn("metres", metres), F.col("shift"), F.coalesce(F.col("category_1") == F.col("category_2"), F.lit(False))
+        if source == "W13":
+            good = same & (F.col("metres") < 400 * (F.col("q90") + F.col("q99"))) & name_rule(F.col("name_1"), F.col("name_2"), 0.6, 0.7, 6)
+        else:
+            # place after place: shift 14 + n of the reference is n places on in the second order
+            most = F.when(shift < 4, 500000).when(shift < 8, 10000).when(shift < 12, 5000).otherwise(2000) if source == "W11" else F.greatest(F.lit(100), 200 - (shift + 14 - 16))
+            good = (F.col("metres") < most) | name_rule(F.col("name_1"), F.col("name_2"), 0.65, 0.75, 7) | (same & (F.col("metres") < 900 * F.col("q90")))
+            good = good | (shift == 1) if source == "W11" else good
+        named = F.when((F.lit(source) == "W11") & (shift == 1), "W10").otherwise(source)
+        found.append(pairs.where(good).select("id_1", "id_2", "shift", named.alias("source")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def bucket_pairs(df: DataFrame, key: str, buckets: dict[str, int]) -> DataFrame:
     """Pairs that share a value of a column of at most so many rows. (The limit is the blocker's meaning: a value of many rows tells little.)"""
     found = []

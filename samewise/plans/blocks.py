@@ -71,6 +71,12 @@ def circular_shift_pairs(spark: SparkSession, d: str) -> DataFrame:
     return blocking.circular_shifts(rows, "id", "rank", suppliers(spark, d).count(), [1, 2, 5, 14])
 
 
+@query()
+def circular_shift_rules(spark: SparkSession, d: str) -> DataFrame:
+    """All shifts of W10-W13 on customers, with the segment as category and usual distances that are the same for each."""
+    return blocking.shifted_pairs(customers(spark, d).withColumnRenamed("segment", "category").withColumn("q90", F.lit(100.0)).withColumn("q99", F.lit(1000.0)))
+
+
 @query(
     """WITH d AS (SELECT doc_id AS id, left(text, 12) AS name, right(regexp_replace(left(text, 2000), '[^0-9]', '', 'g'), 10) AS phone, CASE WHEN coalesce(left(text, 20), '') = '' THEN '' ELSE left(text, 20) || '-' || lang END AS address FROM documents),
     b AS (SELECT id, name AS v, 'n' AS k, 25 AS most FROM d UNION ALL SELECT id, phone, 'p', 10 FROM d UNION ALL SELECT id, address, 'a', 10 FROM d), r AS (SELECT k, v FROM b WHERE v <> '' GROUP BY k, v, most HAVING count(*) > 1 AND count(*) <= most)

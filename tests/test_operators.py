@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -130,3 +131,39 @@ def test_cleaning_stream(spark, tmp_path):
     clean_stream(spark, f"{tmp_path}/in", "id int, text string", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
     assert got == sorted(map(tuple, cleaned(df).collect())) and got[0][2] == "cafe"
+
+
+def test_shifted_pairs_match_brute_force(spark):
+    from samewise.functions.similarity import longest_subsequence, longest_substring
+
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choice("abcdefghijklmn") for _ in range(rnd.randint(0, 9))), rnd.randint(1, 2), "xy"[i % 2], round(rnd.uniform(0, 0.4), 4), round(rnd.uniform(0, 0.4), 4), 5.0 * (i % 3), 40.0) for i in range(130)]
+    df = spark.createDataFrame(rows, "id long, name string, category int, country string, latitude double, longitude double, q90 double, q99 double")
+
+    def metres(a, b):
+        y1, x1, y2, x2 = (v * 3.14 / 180 for v in (a[4], a[5], b[4], b[5]))
+        h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+        return 6373000 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    def names(x, y, sub, seq, last):
+        mean = (len(x) + len(y)) / 2
+        begins = len(x) >= 4 and len(y) >= 4 and (y[:4] in x or x[:4] in y)
+        return begins or (mean > 0 and (longest_substring(x, y) >= sub * mean or longest_subsequence(x, y) >= seq * mean)) or (len(x) >= last and len(y) >= last and x.endswith(y[-last:]))
+
+    near = lambda r: (0, 0, r[1], r[4], r[2], r[3], r[0])
+    want = set()
+    for source, key, shifts in (("W11", near, 15), ("W12", lambda r: (r[3], round(r[4], 2), round(r[5], 2), r[2], r[0]), 107), ("W13", lambda r: (r[2], near(r)), 50)):
+        order = sorted(rows, key=key)
+        for s in range(1, shifts):
+            for i, a in enumerate(order):
+                b = order[(i + s) % len(rows)]
+                m = metres(a, b)
+                if source == "W13":
+                    good = a[2] == b[2] and m < 400 * (a[6] + a[7]) and names(a[1], b[1], 0.6, 0.7, 6)
+                else:
+                    most = (500000 if s < 4 else 10000 if s < 8 else 5000 if s < 12 else 2000) if source == "W11" else max(100, 200 - (s - 2))
+                    good = m < most or names(a[1], b[1], 0.65, 0.75, 7) or (a[2] == b[2] and m < a[6] * 900) or (source == "W11" and s == 1)
+                if good:
+                    want.add((a[0], b[0], s, "W10" if source == "W11" and s == 1 else source))
+    got = [tuple(r) for r in blocking.shifted_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {w[3] for w in want} == {"W10", "W11", "W12", "W13"}
