@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from samewise.session import written
+
 
 def canonical(pairs: DataFrame) -> DataFrame:
     """id_1 < id_2, without self pairs and repeats."""
@@ -22,14 +24,26 @@ def not_in(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(known.select("id_1", "id_2"), ["id_1", "id_2"], "left_anti")
 
 
+#: Rows of a window in sorted_neighbours, at least.
+WINDOW_ROWS = 8192
+
+
 def sorted_neighbours(df: DataFrame, key: str, partition: Sequence[str], order: Sequence[str], k: int, values: Sequence[str] = ()) -> DataFrame:
-    """Each row with the next k of its partition in order: id_1, id_2, step, and both sides' values as <name>_1, <name>_2."""
-    window = Window.partitionBy(*partition).orderBy(*order)
-    entry = F.struct(F.col(key).alias("id"), *values)
+    """Each row with the next k of its partition in order: id_1, id_2, step, and both sides' values as <name>_1, <name>_2.
+
+    Nulls come first and are equal as partitions. The whole table has one order, by partition and then by order, and is read in
+    windows of so many consecutive places, each with the first k rows of the next: a partition of any size is dealt over all tasks.
+    """
+    rows = df.select(F.col(key).alias("id_1"), F.struct(F.col(key).alias("id"), *values).alias("_own"), F.struct(*partition).alias("_group"), F.struct(*order).alias("_order"))
+    size = max(WINDOW_ROWS, 8 * k)
+    placed = ranked(rows, ["_group", "_order"], "_at").drop("_order").withColumn("_window", F.floor(F.col("_at") / size))
+    after = placed.where(F.col("_at") % size < k).withColumn("_window", F.col("_window") - 1)
+    window = Window.partitionBy("_window").orderBy("_at")
+    entry = F.struct("_own", "_group")
     ahead = F.array(*[F.struct(F.lit(j).alias("step"), F.lead(entry, j).over(window).alias("row")) for j in range(1, k + 1)])
-    rows = df.select(F.col(key).alias("id_1"), *[F.col(v).alias(f"{v}_1") for v in values], ahead.alias("ahead"))
-    found = rows.withColumn("next", F.explode("ahead")).where("next.row is not null")
-    return found.select("id_1", F.col("next.row.id").alias("id_2"), F.col("next.step").alias("step"), *[c for v in values for c in (F.col(f"{v}_1"), F.col(f"next.row.{v}").alias(f"{v}_2"))])
+    found = placed.unionByName(after).withColumn("_ahead", ahead).where(F.col("_window") == F.floor(F.col("_at") / size))
+    found = found.select("id_1", "_own", "_group", F.explode("_ahead").alias("next")).where(F.col("next.row").isNotNull() & F.col("next.row._group").eqNullSafe(F.col("_group")))
+    return found.select("id_1", F.col("next.row._own.id").alias("id_2"), F.col("next.step").alias("step"), *[c for v in values for c in (F.col(f"_own.{v}").alias(f"{v}_1"), F.col(f"next.row._own.{v}").alias(f"{v}_2"))])
 
 
 def shifted_grid(df: DataFrame, key: str, lat: Column, lon: Column, width: float, partition: Sequence[str], k: int) -> DataFrame:
@@ -59,13 +73,21 @@ def cell_pairs(df: DataFrame, key: str, cell: Sequence[str], most: int, values:
 def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds each row's place in the order of the whole table, from 0, without a single partition.
 
-    Rows are range-partitioned and sorted; places within a partition are shifted by the sizes of the partitions before it.
+    Rows are range-partitioned, sorted, numbered within their partition and written once: range bounds are sampled anew each time a
+    plan is run, so sizes and places must come from one and the same run. Places are then shifted by the sizes of the
+    partitions before. Equal rows have places in any order.
     """
-    spread = (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))  # rows: partitions
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return spread.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    spread = (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).sortWithinPartitions(*order)
+    first = F.shiftleft(F.spark_partition_id().cast("long"), 33)  # as monotonically_increasing_id counts
+    spread = written(spread.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id() - first}), "ranked")
+    before = running_before(spread.groupBy("_part").agg(F.count("*").alias("_n")), "_n")
+    return spread.join(F.broadcast(before), "_part").withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+
+
+def running_before(sizes: DataFrame, column: str) -> DataFrame:
+    """(_part, _before) of sizes (_part, column): what all parts before hold. It has a row for each partition of a range shuffle."""
+    a, b = sizes.select("_part"), sizes.select(F.col("_part").alias("_other"), F.col(column).alias("_size"))
+    return a.join(F.broadcast(b), F.col("_other") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_before"))
 
 
 def circular_shifts(rows: DataFrame, key: str, rank: str, total: int, shifts: Sequence[int]) -> DataFrame:
@@ -96,7 +118,7 @@ def shifted_pairs(df: DataFrame) -> DataFrame:
     near = ["lat0", "lon0", "name", "latitude", "category", "country", "id"]
     total = df.count()
     found = []
-    for source, order, shifts in (("W11", near, range(1, 15)), ("W12", ["country", "lat2", "lon2", "category", "id"], range(1, 107)), ("W13", ["category", *near], range(1, 50))):
+    for source, order, shifts in (("W11", near, range(1, 15)), ("W12", ["country", "lat2", "lon2", "category", "id"], range(1, 107)), ("W13", list(dict.fromkeys(["category", *near])), range(1, 50))):
         pairs = circular_shifts(ranked(df.select("id", *[c for c in order if c != "id"]), order), "id", "rank", total, list(shifts))
         for i, more in ((1, ["q90", "q99"]), (2, [])):
             pairs = pairs.join(df.select(F.col("id").alias(f"id_{i}"), *[F.col(v).alias(f"{v}_{i}") for v in values], *more), f"id_{i}")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from samewise.operators.blocking import running_before
+from samewise.session import written
+
 
 def set_iou(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
@@ -46,9 +49,9 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = "y") -> DataFr
     Scores are counted first; running counts are taken over ranges of scores, so that no task holds all of them.
     """
     per = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    spread = per.repartitionByRange(score).withColumn("_part", F.spark_partition_id())
-    sizes = spread.groupBy("_part").agg(F.sum("q").alias("_q"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._q"), F.lit(0)).alias("_before"))  # rows: partitions
+    # written once: range bounds are sampled anew each time a plan is run
+    spread = written(per.repartitionByRange(score).withColumn("_part", F.spark_partition_id()), "scores")
+    before = running_before(spread.groupBy("_part").agg(F.sum("q").alias("_q")), "_q")
     below = F.coalesce(F.sum("q").over(Window.partitionBy("_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = spread.withColumn("_below", below).join(F.broadcast(before), "_part")
     return ranked.agg((F.sum(F.col("p") * (F.col("_below") + F.col("_before") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))

@@ -167,3 +167,32 @@ def test_shifted_pairs_match_brute_force(spark):
                     want.add((a[0], b[0], s, "W10" if source == "W11" and s == 1 else source))
     got = [tuple(r) for r in blocking.shifted_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want and {w[3] for w in want} == {"W10", "W11", "W12", "W13"}
+
+
+def test_ranks_are_places_on_many_files(spark, tmp_path):
+    """300,000 rows in several files: samples of a range shuffle don't cover them, so its bounds differ from run to run."""
+    n = 300_000
+    spark.range(0, n, 1, 12).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("v"), "id").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    for parts in (None, 9):
+        got = blocking.ranked(rows, ["v", "id"], parts=parts).orderBy("v", "id").toPandas()["rank"]
+        assert (got == range(n)).all()
+    rows = rows.withColumn("g", F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise(F.col("id") % 6))
+    near = blocking.sorted_neighbours(rows, "id", ["g"], ["v", "id"], 2, ["v"]).select("id_1", "id_2", "step", "v_2").toPandas()
+    pdf = rows.toPandas()
+    want = set()
+    for _, g in pdf.sort_values(["v", "id"]).groupby("g", dropna=False):
+        ids, v = g["id"].tolist(), g["v"].tolist()
+        want |= {(ids[i], ids[i + s], s, v[i + s]) for s in (1, 2) for i in range(len(ids) - s)}
+    assert len(near) == len(want) and set(near.itertuples(index=False, name=None)) == want
+
+
+def test_auc_of_many_scores(spark, tmp_path):
+    n = 300_000
+    spark.range(0, n, 1, 12).select((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)).alias("score"), (F.col("id") % 2).alias("y")).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    pdf = df.toPandas()
+    ranks = pdf["score"].rank()
+    p = int(pdf["y"].sum())
+    want = (ranks[pdf["y"] == 1].sum() - p * (p + 1) / 2) / (p * (n - p))
+    assert all(abs(evaluate.roc_auc(df).first()[0] - want) < 1e-12 for _ in range(2))
