@@ -5,11 +5,17 @@ unit of area. A set keeps the darts that fall below its elements' weights; for e
 one of least rank counts. Two sets agree in a coordinate with a probability that is their weighted Jaccard similarity.
 About k log k darts are looked at for each set, whatever its size.
 
-Copies with equal shingle sets are one node. Nodes that share a band of coordinates are compared by their whole
-signatures within buckets (large buckets are salted; none is held whole by a task). The most likely pairs are checked exactly
-on their shingles and linked; then all other likely pairs of a bucket whose ends are in different classes are checked too,
-in large buckets block against block.
-Classes are the connected components of all links.
+Copies with equal shingle sets are one node. Three steps find all links between the others, and no row stands for a pair
+but for those of spanning forests, so the rows are in proportion to the nodes whatever the size of a group:
+
+1. Nodes that share a band of coordinates meet in its bucket (large buckets block against block). A task ties together the
+   nodes whose whole signatures agree by LIKELY, and gives a spanning forest of these ties.
+2. The components of all forests are the groups within which links can be. Nodes of a group meet once with their shingle
+   sets; those of a large group meet by its buckets, again block against block.
+3. A task compares sets exactly: sets at the similarity share one of their rarest shingles, so only sets that do are
+   compared, and only while they are in different classes. It gives a spanning forest of the links.
+
+Classes are the connected components of these links.
 """
 
 from __future__ import annotations
@@ -31,12 +37,14 @@ from samewise.session import drop_written, written
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: Most members of a bucket that are compared with one another at once.
-CHUNK = 768
-#: Pairs whose signatures agree less are not checked: at similarity 0.8, 120 coordinates fall this low once in ten million.
+#: Nodes whose signatures agree less are not compared: at similarity 0.8, 120 coordinates fall this low once in ten million.
 LIKELY = 0.6
-#: Most members of a bucket that are compared with as many others by one task in the second round.
+#: Most nodes of a block; two blocks at most meet in a task.
 BLOCK = 4096
+#: Most shingles of a block of more than one node, 4 bytes each.
+BLOCK_SHINGLES = 4 << 20
+#: Most nodes of a group that meet in one task, or in blocks of it; nodes of larger groups meet by buckets.
+GROUP = 1 << 16
 FIRST_RANK = 0.25
 
 
@@ -123,14 +131,14 @@ def sketches(words: int, bands: int, rows: int, weighted: bool):
             for j in range(rows):
                 band = mix(band + bits[:, j::rows][:, :bands], 31 + j)
             band = mix(band + np.arange(bands, dtype=np.uint64)[None, :], 37)
-            size = np.bincount(t, minlength=n)
+            size = np.bincount(t, weights=count if weighted else None, minlength=n).astype(np.int64)
             node = np.zeros(n, np.uint64)
             weight = count.astype(np.uint64) if weighted else np.uint64(1)
             np.add.at(node, t, mix(h + weight, 41))
             own = (mix(node, 43) ^ size.astype(np.uint64)).view(np.int64)
             coarse = (bits & np.uint64(255)).astype(np.uint8)
-            yield record_batch(["row", "doc_id", "node", "size", "bands", "coarse"], [
-                np.arange(seen, seen + n), table["doc_id"].cast(pa.int64()).combine_chunks(), pa.array(own, pa.int64(), mask=size == 0), size.astype(np.int32),
+            yield record_batch(["row", "doc_id", "text_hash", "node", "size", "bands", "coarse"], [
+                np.arange(seen, seen + n), table["doc_id"].combine_chunks(), table["text_hash"].combine_chunks(), pa.array(own, pa.int64(), mask=size == 0), size,
                 pa.array([b.tobytes() for b in band], pa.binary()), pa.array([c.tobytes() for c in coarse], pa.binary()),
             ])
             seen += n
@@ -147,133 +155,178 @@ def band_rows(bands: int):
     return work
 
 
-def likely_pairs(coarse: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Of members with the given signatures, pairs to be checked: each with the member nearest to what most agree on, and with its nearest ones."""
-    n, k = coarse.shape
-    if n == 2:
-        return (np.array([0]), np.array([1])) if (coarse[0] == coarse[1]).mean() >= LIKELY else (np.zeros(0, int), np.zeros(0, int))
-    share = np.zeros((n, n), np.float32)
-    for a in range(0, n, 64):
-        share[a : a + 64] = (coarse[a : a + 64, None, :] == coarse[None, :, :]).mean(2)
-    np.fill_diagonal(share, 0)
-    common = np.array([np.bincount(coarse[:, j]).argmax() for j in range(k)], np.uint8)
-    centre = int((coarse == common).mean(1).argmax())
-    near = np.argpartition(-share, min(most, n - 1) - 1, axis=1)[:, :most]
-    a = np.concatenate([np.arange(n), np.repeat(np.arange(n), near.shape[1])])
-    b = np.concatenate([np.full(n, centre), near.ravel()])
-    good = share[a, b] >= LIKELY
-    return a[good], b[good]
-
-
-def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket (key, salt): pairs of each bucket, in chunks; the centre of a chunk goes on to the next."""
-    held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def pairs(ids: np.ndarray, coarse: np.ndarray, out: list) -> None:
-        for at in range(0, len(ids), CHUNK):
-            first = np.arange(at, min(len(ids), at + CHUNK))
-            if at:
-                first = np.append(0, first)
-            if len(first) > 1:
-                a, b = likely_pairs(coarse[first])
-                x, y = ids[first[a]], ids[first[b]]
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-
-    def closed(key, ids, coarse, last: bool):
-        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        bounds = [0, *cut.tolist(), len(key)] if len(key) else [0]
-        out: list = []
-        stop = len(bounds) - 1 if last else len(bounds) - 2
-        for a, b in zip(bounds[:stop], bounds[1 : stop + 1], strict=True):
-            pairs(ids[a:b], coarse[a:b], out)
-        rest = bounds[stop] if stop >= 0 else 0
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return found, (key[rest:], ids[rest:], coarse[rest:])
-
-    for batch in batches:
-        key = np.stack([batch["key"].to_numpy(), batch["salt"].to_numpy()], axis=1)
-        coarse = np.frombuffer(b"".join(batch["coarse"].to_pylist()), np.uint8).reshape(len(key), -1)
-        ids = batch["id"].to_numpy()
-        if held is not None:
-            key, ids, coarse = (np.concatenate(x) for x in zip(held, (key, ids, coarse), strict=True))
-        found, held = closed(key, ids, coarse, False)
-        yield record_batch(["a", "b"], [found[0], found[1]])
-    if held is not None:
-        found, _ = closed(*held, True)
-        yield record_batch(["a", "b"], [found[0], found[1]])
-
-
-def _apart(ids: np.ndarray, classes: np.ndarray, coarse: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Pairs (2 x n) of a first and a second member, of different classes, whose signatures agree by LIKELY."""
-    out = [np.zeros((2, 0), np.int64)]
+class Parts:
+    """Rows sorted by part (key, salt), over batches: gives the rows of whole parts, as many as came, as columns."""
+
+    def __init__(self, columns: list[str]):
+        self.columns, self.held = ["key", "salt", *columns], None
+
+    @staticmethod
+    def _column(c: pa.Array) -> np.ndarray:
+        return np.array(c.to_pylist(), object) if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c.to_numpy()
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """(bounds of the parts, columns but key and salt)."""
+        for batch in batches:
+            if batch.num_rows:
+                rows = [self._column(batch[c]) for c in self.columns]
+                if self.held is not None:
+                    rows = [np.concatenate(x) for x in zip(self.held, rows, strict=True)]
+                cut = self._cuts(rows)
+                last = cut[-1] if len(cut) else 0
+                self.held = [x[last:] for x in rows]
+                if last:
+                    yield np.append(0, cut), [x[:last] for x in rows[2:]]
+        if self.held is not None:
+            yield np.concatenate([[0], self._cuts(self.held), [len(self.held[0])]]), self.held[2:]
+
+    @staticmethod
+    def _cuts(rows: list[np.ndarray]) -> np.ndarray:
+        return np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+
+
+def _tied(coarse: np.ndarray, near_first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Ties (one, others) of a spanning forest of the members that agree by LIKELY; near_first: those that do with the first one.
+
+    Each member that was reached looks only at those that weren't yet.
+    """
     least = LIKELY * coarse.shape[1] - 1e-9
-    for at in range(0, len(first), 64):
-        some = first[at : at + 64]
-        for to in range(0, len(second), 1024):
-            others = second[to : to + 1024]
-            if (classes[others] == classes[some[0]]).all() and (classes[some] == classes[some[0]]).all():
-                continue
-            near = np.count_nonzero(coarse[some][:, None, :] == coarse[others][None, :, :], axis=2) >= least
-            x, y = np.nonzero(near & (classes[some][:, None] != classes[others][None, :]))
-            x, y = ids[some[x]], ids[others[y]]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-    return np.unique(np.concatenate(out, axis=1), axis=1)
-
-
-def pairs_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by part (key, salt) and side: all likely pairs of different classes of a part's side 0, or of its side 0 with its side 1 if it has one."""
-    held: list[np.ndarray] | None = None
-
-    def closed(rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        part, side, ids, classes, coarse = rows
-        cut = np.flatnonzero((part[1:] != part[:-1]).any(1)) + 1
-        bounds = [0, *cut.tolist(), *([len(part)] if last else [])]
-        out = [np.zeros((2, 0), np.int64)]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a > 1:
-                every, second = np.arange(a, b), side[a:b] == 1
-                out.append(_apart(ids, classes, coarse, every[~second], every[second] if second.any() else every))
-        found = np.unique(np.concatenate(out, axis=1), axis=1)
-        held = [x[bounds[-1] :] for x in rows]
-        for at in range(0, found.shape[1], 1 << 20):
-            yield record_batch(["a", "b"], [found[0, at : at + (1 << 20)], found[1, at : at + (1 << 20)]])
-
-    for batch in batches:
-        if batch.num_rows:
-            part = np.stack([batch["key"].to_numpy(), batch["salt"].to_numpy()], axis=1)
-            coarse = np.frombuffer(b"".join(batch["coarse"].to_pylist()), np.uint8).reshape(len(part), -1)
-            rows = [part, batch["side"].to_numpy(), batch["id"].to_numpy(), batch["class"].to_numpy(), coarse]
-            yield from closed(rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)], False)
-    if held is not None:
-        yield from closed(held, True)
-
-
-def blocked(members: DataFrame, counted: DataFrame) -> DataFrame:
-    """(key, salt, side, id, class) of members (key, id, class) for pairs_apart: whole buckets up to BLOCK members, and each two blocks of larger ones.
-
-    Classes of over BLOCK members have blocks of their own, which don't meet one another. counted: key, n.
+    todo = np.flatnonzero(~near_first)
+    todo = todo[todo > 0]
+    reached = [0, *np.flatnonzero(near_first[1:]) + 1]
+    while len(todo):
+        if not reached:
+            reached, todo = [int(todo[0])], todo[1:]
+        x = reached.pop()
+        near = np.count_nonzero(coarse[todo] == coarse[x], axis=1) >= least
+        if near.any():
+            yield x, todo[near]
+            reached.extend(todo[near].tolist())
+            todo = todo[~near]
+
+
+def likely_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, salt, id, coarse) sorted by part: a spanning forest (a, b) of each part's likely pairs."""
+    for bounds, (ids, blobs) in Parts(["id", "coarse"])(batches):
+        coarse = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(ids), -1)
+        size = np.diff(bounds)
+        lead = np.repeat(bounds[:-1], size)
+        near = np.count_nonzero(coarse == coarse[lead], axis=1) >= LIKELY * coarse.shape[1] - 1e-9  # with the part's first row
+        a, b = [ids[lead[near]]], [ids[near]]
+        for p in np.flatnonzero((np.add.reduceat(~near, bounds[:-1]) > 0) & (size > 2)).tolist():
+            s, e = bounds[p], bounds[p + 1]
+            for x, others in _tied(coarse[s:e], near[s:e]):
+                a.append(np.full(len(others), ids[s + x]))
+                b.append(ids[s + others])
+        a, b = np.concatenate(a), np.concatenate(b)
+        keep = a != b
+        yield record_batch(["a", "b"], [np.minimum(a, b)[keep], np.maximum(a, b)[keep]])
+
+
+class ShingleSets:
+    """Sets of some parts, one after another, with what an exact search for links needs: postings of each set's rarest shingles."""
+
+    def __init__(self, bounds: np.ndarray, blobs: np.ndarray, similarity: float):
+        self.similarity = similarity
+        self.part = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+        self.size = np.array([len(b) // 4 for b in blobs], np.int64)
+        self.ends = np.append(0, np.cumsum(self.size))
+        row = np.repeat(np.arange(len(blobs)), self.size)
+        names = (self.part[row] << np.uint64(32)) | np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64)  # parts share no shingle
+        _, code, count = np.unique(names, return_inverse=True, return_counts=True)
+        rarity = np.argsort(np.argsort(count, kind="stable"), kind="stable")[code]
+        order = np.lexsort((rarity, row))
+        self.code = code[order]
+        # sets of the similarity share at least one shingle of the beginnings, in one order of all shingles
+        begin = self.size - np.ceil(similarity * self.size - 1e-9).astype(np.int64) + 1
+        place = np.arange(len(row)) - self.ends[row]
+        use = np.flatnonzero((place < begin[row]) & (count[self.code] > 1))
+        by = np.argsort(self.code[use], kind="stable")  # rows stay in order
+        self.rows, codes = row[use][by], self.code[use][by]
+        self.n_codes = len(count)
+        self.at = np.searchsorted(codes, np.arange(self.n_codes + 1))
+        self.begins = np.searchsorted(row[use], np.arange(len(blobs) + 1))
+        self.begin_codes = self.code[use]
+        self.marked = np.zeros(self.n_codes, bool)
+
+    def earlier(self, x: int) -> np.ndarray:
+        """Sets before x that share one of the beginning's shingles."""
+        codes = self.begin_codes[self.begins[x] : self.begins[x + 1]]
+        found = [self.rows[self.at[c] : self.at[c + 1]] for c in codes.tolist() if self.at[c + 1] - self.at[c] > 1]
+        found = [f[: np.searchsorted(f, x)] for f in found]
+        found = [f for f in found if len(f)]
+        return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def links(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that reach the similarity with x."""
+        nx, n = self.size[x], self.size[others]
+        others = others[np.minimum(n, nx) >= self.similarity * np.maximum(n, nx)]
+        if not len(others):
+            return others
+        mine = self.code[self.ends[x] : self.ends[x + 1]]
+        self.marked[mine] = True
+        n = self.size[others]
+        to = np.cumsum(n) - n
+        flat = np.repeat(self.ends[others] - to, n) + np.arange(int(n.sum()))
+        shared = np.add.reduceat(self.marked[self.code[flat]].astype(np.int64), to)
+        self.marked[mine] = False
+        return others[shared >= self.similarity * (nx + n - shared)]
+
+
+def exact_forest(similarity: float):
+    """Over rows (key, salt, block, id, shingles) sorted by part: a spanning forest (a, b) of each part's links.
+
+    Parts of two blocks have rows of both; two sets of one block meet in a part of that block alone.
     """
-    small = members.join(counted.where(F.col("n") <= BLOCK).select("key"), "key", "left_semi")
-    small = small.select("key", F.lit(0).cast("long").alias("salt"), F.lit(0).alias("side"), "id", "class")
-    sizes = members.join(counted.where(F.col("n") > BLOCK).select("key"), "key", "left_semi").groupBy("key", "class").agg(F.count("*").alias("n"))
-    own = F.when(F.col("n") > BLOCK, F.col("class"))
-    groups = sizes.withColumn("own", own).groupBy("key", "own").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    named = sizes.withColumn("own", own).select("key", "class", "own").join(groups.withColumnRenamed("key", "k").withColumnRenamed("own", "o"), F.expr("key = k and own <=> o")).select("key", "class", "own", "blocks")
-    large = members.join(named, ["key", "class"]).select("key", "id", "class", "own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).alias("nth"))
-    blocks = groups.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("nth"))
-    block = F.struct(F.col("own").isNotNull().alias("single"), F.coalesce("own", F.lit(0).cast("long")).alias("own"), "nth")
-    ordered = blocks.select("key", block.alias("x"))
-    two = ordered.join(ordered.withColumnRenamed("x", "y"), "key").where("x <= y and not (x.single and y.single and x.own = y.own)").withColumn("salt", F.xxhash64("x", "y"))
-    met = two.select("key", "salt", F.col("x").alias("block"), F.lit(0).alias("side")).unionByName(two.where("x < y").select("key", "salt", F.col("y").alias("block"), F.lit(1).alias("side")))
-    return small.unionByName(large.select("key", "id", "class", block.alias("block")).join(met, ["key", "block"]).select("key", "salt", "side", "id", "class"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bounds, (block, ids, blobs) in Parts(["block", "id", "shingles"])(batches):
+            sets = ShingleSets(bounds, blobs, similarity)
+            label = np.arange(len(ids))
+            two = np.minimum.reduceat(block, bounds[:-1]) != np.maximum.reduceat(block, bounds[:-1])
+            out: list[tuple[int, int]] = []
+            for x in np.flatnonzero(np.diff(sets.begins) > 0).tolist():
+                others = sets.earlier(x)
+                others = others[label[others] != label[x]]
+                p = int(sets.part[x])
+                if two[p]:
+                    others = others[block[others] != block[x]]
+                if not len(others):
+                    continue
+                own = label[bounds[p] : bounds[p + 1]]
+                for y in sets.links(x, others).tolist():
+                    if label[x] != label[y]:
+                        out.append((ids[x], ids[y]))
+                        own[own == label[y]] = label[x]
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            yield record_batch(["a", "b"], [np.minimum(a, b), np.maximum(a, b)])
+
+    return work
+
+
+def blocked(members: DataFrame, block: int, shingles: int | None = None) -> DataFrame:
+    """(key, salt, block, id) of members (key, id, size) of keys of two members or more.
+
+    Keys of at most `block` members, of so many shingles, are one part. Members of larger keys are dealt over blocks of such sizes, and
+    each two blocks of a key are a part, as is each block alone. (The number of parts grows with the square of a key's blocks; the
+    rows of one part don't.)
+    """
+    enough = F.ceil(F.count("*") / block) if shingles is None else F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.col("size").cast("double")) / shingles))
+    counted = members.groupBy("key").agg(F.count("*").alias("n"), enough.cast("long").alias("blocks")).where("n > 1").drop("n")
+    dealt = members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
+    return dealt.select("key", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(meets)).alias("salt"), "block", "id")
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
 
 
 def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for a shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        yield record_batch(["doc_id", "text"], [b["doc_id"], pa.array([pack((t or "").encode()) for t in b["text"].to_pylist()], pa.binary())])
+        yield record_batch(["doc_id", "text_hash", "text"], [b["doc_id"], b["text_hash"], pa.array([pack((t or "").encode()) for t in b["text"].to_pylist()], pa.binary())])
 
 
 def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +337,15 @@ def unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield record_batch(["id", "text"], [part["id"], pa.array([unpack(x).decode() for x in part["text"].to_pylist()], pa.large_string())])
 
 
-def shingle_blobs(words: int):
+def shingle_blobs(words: int, weighted: bool = False):
+    """32-bit hashes of each text's shingles, each once; with weighted, the n-th occurrence of a shingle has its own hash."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(unzipped(batches)):
-            h, t, _ = shingle_sets(table["text"], words)
+            h, t, count = shingle_sets(table["text"], words)
+            if weighted:
+                nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                h, t = mix(np.repeat(h, count) + nth.astype(np.uint64), 47), np.repeat(t, count)
             h = (h >> np.uint64(32)).astype(np.uint32)
             ends = np.searchsorted(t, np.arange(table.num_rows + 1))
             yield record_batch(["id", "shingles"], [table["id"].combine_chunks(), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())])
@@ -295,83 +353,39 @@ def shingle_blobs(words: int):
     return work
 
 
-def checked(similarity: float):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["sa"], b["sb"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return work
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """(doc_id, class_id, kept) for each row of docs (doc_id, text): class_id is the least doc_id of its class.
+    """(doc_id, class_id, kept, text_hash) for each row of docs (doc_id, text, further columns that don't matter).
 
-    kept is true for one row of each class. Texts without words, and rows without doc_id, are alone (class_id is their doc_id). Repeated
-    rows share a class and one of them is kept. With weighted, signatures count how often a shingle occurs.
+    class_id is the least doc_id of the class, kept is true for one row of each class, of that doc_id, and text_hash (xxhash64 of the text)
+    tells rows of one doc_id apart: they are texts of their own and are in one class only if their texts are alike. Repeated rows
+    share a class and one of them is kept. Texts without words, null texts and rows without doc_id are alone and kept (class_id
+    is their doc_id). An empty table gives an empty result. Texts of fewer than `words` words have one shingle, all their words. With
+    weighted, similarity and signatures count how often a shingle occurs.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drawn = written(texts.mapInArrow(sketches(words, bands, rows, weighted), "row long, doc_id long, node long, size int, bands binary, coarse binary"), "sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    drawn = written(texts.mapInArrow(sketches(words, bands, rows, weighted), "row long, doc_id long, text_hash long, node long, size long, bands binary, coarse binary"), "sketches")
     named = drawn.where("node is not null and doc_id is not null")
-    first = F.min(F.struct("doc_id", "row")).alias("first")
-    nodes = written(named.groupBy("node").agg(first).select("node", "first.*"), "nodes")
-    lead = drawn.join(nodes.select("row"), "row", "left_semi").select(F.col("doc_id").alias("id"), "bands", "coarse")
+    # a node's lead is the row that stands for its texts
+    nodes = written(named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("lead")), "nodes")
+    lead = drawn.join(nodes.select(F.col("lead.row").alias("row")), "row", "left_semi").select(F.col("node").alias("id"), "size", "bands", "coarse")
     keyed = lead.select("id", "bands").mapInArrow(band_rows(bands), "key long, id long")
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    salted = keyed.join(full, "key").withColumn("salt", F.when(F.col("n") > 2 * CHUNK, F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / CHUNK))).otherwise(F.lit(0)).cast("long")).select("key", "salt", "id")
-    members = salted.join(lead.select("id", "coarse"), "id")
-    pairs = members.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(bucket_pairs, "a long, b long")
-    # salted parts of a large bucket: their least members are checked too; pairs of two parts follow below
-    heads = salted.join(full.where(F.col("n") > 2 * CHUNK).select("key"), "key", "left_semi").groupBy("key", "salt").agg(F.min("id").alias("id"))
-    hub = heads.join(heads.groupBy("key").agg(F.min("id").alias("hub")), "key").select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b")
-    pairs = written(pairs.unionByName(hub).distinct(), "pairs")
-    small = texts.where("doc_id is not null").mapInArrow(zipped, "doc_id long, text binary")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
-    def shingled(touched: DataFrame) -> DataFrame:
-        led = small.join(touched.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-        return written(led.mapInArrow(shingle_blobs(words), "id long, shingles binary"), "shingles")
-
-    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sets_b, sets_a = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        return written(pairs.join(sets_b, "b").join(sets_a, "a").select("a", "b", "sa", "sb").mapInArrow(checked(similarity), "a long, b long"), "links")
-
-    seen = written(ends(pairs), "ends")
-    sets = shingled(seen)
-    links = linked(pairs, sets)
-    found = written(components(links), "classes")
-    # what the choice left out: all other likely pairs of a bucket between classes (within a class a further link changes nothing)
-    counted = full.where("n > 2")
-    placed = keyed.join(counted.select("key"), "key", "left_semi").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("class"))
-    mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    placed = written(placed.join(mixed, "key", "left_semi"), "placed")
-    parts = blocked(placed, placed.groupBy("key").agg(F.count("*").alias("n"))).join(lead.select("id", "coarse"), "id")
-    apart = parts.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(pairs_apart, "a long, b long").distinct()
-    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    unseen = ends(apart).join(seen, "id", "left_anti")
-    if not unseen.isEmpty():
-        late = shingled(unseen)
-        more = linked(apart, sets.unionByName(late))
-        drop_written(late)
-    else:
-        more = linked(apart, sets)
-    drop_written(placed)
-    if not more.isEmpty():
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    for done in (sets, pairs, apart, seen):
-        drop_written(done)
-    classes = nodes.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.col("row").alias("lead_row"), F.coalesce("component", "doc_id").alias("class_id"))
-    named = named.select("row", "doc_id", "node").join(classes, "node")
-    alone = drawn.where("node is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
-    return named.select("doc_id", "class_id", ((F.col("row") == F.col("lead_row")) & (F.col("doc_id") == F.col("class_id"))).alias("kept")).unionByName(alone)
+    members = blocked(keyed.withColumn("size", F.lit(0)), BLOCK).join(lead.select("id", "coarse"), "id")
+    ties = in_parts(members.select("key", "salt", "id", "coarse")).mapInArrow(likely_forest, "a long, b long")
+    groups = written(components(ties).join(lead.select("id", "size"), "id"), "groups")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    whole = groups.join(sizes.where(F.col("n") <= GROUP), "component").select(F.col("component").alias("key"), "id", "size")
+    large = groups.join(sizes.where(F.col("n") > GROUP), "component").select("id", "size")
+    met = blocked(whole.unionByName(keyed.join(large, "id").select("key", "id", "size")), BLOCK, BLOCK_SHINGLES)
+    small = texts.where("doc_id is not null").mapInArrow(zipped, "doc_id long, text_hash long, text binary")
+    wanted = nodes.join(groups.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("id"), "lead.doc_id", "lead.text_hash")
+    sets = small.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("id", "text").mapInArrow(shingle_blobs(words, weighted), "id long, shingles binary")
+    parts = in_parts(met.join(sets.dropDuplicates(["id"]), "id").select("key", "salt", "block", "id", "shingles"))
+    links = parts.mapInArrow(exact_forest(similarity), "a long, b long")
+    found = components(links)
+    classes = nodes.join(found, nodes["node"] == found["id"], "left").select("node", "lead", F.coalesce("component", "node").alias("class"))
+    least = classes.groupBy("class").agg(F.min("lead").alias("first"))
+    told = written(classes.join(least, "class").select("node", "first"), "classes")
+    drop_written(groups)
+    out = named.select("row", "doc_id", "text_hash", "node").join(told, "node")
+    out = out.select("doc_id", F.col("first.doc_id").alias("class_id"), (F.col("row") == F.col("first.row")).alias("kept"), "text_hash")
+    return out.unionByName(drawn.where("node is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), "text_hash"))

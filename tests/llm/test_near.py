@@ -1,14 +1,15 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from samewise.llm import minhash_dedup
 from samewise.llm.embedding_dedup import embedding_links
-from samewise.llm.minhash_dedup import blocked, dart_minhash, likely_pairs, near_duplicates
+from samewise.llm.minhash_dedup import LIKELY, blocked, dart_minhash, exact_forest, likely_forest, near_duplicates
 from samewise.llm.words import mix
 
 
@@ -46,12 +47,50 @@ def test_signatures_of_sets_of_any_size(size):
     assert np.isfinite(ranks).all() and abs((ranks[0] == ranks[1]).mean() - part / size) < 0.08
 
 
-def test_likely_pairs_tie_a_group_together():
+def parts_of(rows, columns, step):
+    """Arrow batches of so many rows, with the columns' types."""
+    names, kinds = zip(*columns.items(), strict=True)
+    return [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + step]], k) for i, k in enumerate(kinds)], names=list(names)) for at in range(0, len(rows), step)]
+
+
+def edges_of(batches):
+    return [e for b in batches for e in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+
+
+def test_forest_ties_what_is_likely():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 256, 120).astype(np.uint8)
-    group = np.array([np.where(rng.random(120) < 0.1, rng.integers(0, 256, 120), base) for _ in range(300)], np.uint8)
-    a, b = likely_pairs(group)
-    assert len(a) <= 4 * 300 and len(set(union_find(300, zip(a, b, strict=True)))) == 1
+    rows, want, forest_rows = [], set(), 0
+    for key in range(40):
+        n = int(rng.integers(1, 60))
+        base = rng.integers(0, 256, (3, 120))
+        group = np.array([np.where(rng.random(120) < rng.choice([0.1, 0.25, 0.4]), rng.integers(0, 256, 120), base[rng.integers(0, 3)]) for _ in range(n)], np.uint8)
+        links = [(i, j) for i, j in itertools.combinations(range(n), 2) if (group[i] == group[j]).sum() >= LIKELY * 120]
+        classes = union_find(n, links)
+        want |= {(100 * key + i, 100 * key + c) for i, c in enumerate(classes)}
+        forest_rows += n - len(set(classes))
+        rows += [(key, 0, 100 * key + i, group[i].tobytes()) for i in range(n)]
+    for step in (7, 1000):
+        edges = edges_of(likely_forest(iter(parts_of(rows, {"key": pa.int64(), "salt": pa.int64(), "id": pa.int64(), "coarse": pa.binary()}, step))))
+        parent = union_find(4000, edges)
+        assert {(r[2], parent[r[2]]) for r in rows} == want and len(edges) == forest_rows
+
+
+def test_exact_forest_matches_brute_force():
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for key in range(30):
+        base = rng.integers(0, 5000, 60)
+        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.0, 0.05, 0.12, 0.3]), rng.integers(0, 5000, 60), base)).astype(np.uint32) for _ in range(int(rng.integers(1, 40)))]
+        block = rng.integers(0, 2, len(sets)) if key % 2 else np.zeros(len(sets), int)
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared) and (block[i] != block[j] or not block.any()):
+                want.append((100 * key + i, 100 * key + j))
+        rows += [(key, 1, int(block[i]), 100 * key + i, x.tobytes()) for i, x in enumerate(sets)]
+    kinds = {"key": pa.int64(), "salt": pa.int64(), "block": pa.int64(), "id": pa.int64(), "shingles": pa.binary()}
+    for step in (11, 1000):
+        edges = edges_of(exact_forest(0.8)(iter(parts_of(rows, kinds, step))))
+        assert set(edges) <= set(want) and union_find(3000, edges) == union_find(3000, want) and len(edges) < len(want)
 
 
 def near_corpus():
@@ -107,27 +146,56 @@ def test_groups_in_one_bucket_are_linked_by_a_single_pair(spark):
     assert got == {i: n * 21 for i, (_, n) in enumerate(texts)}
 
 
-def test_parts_of_large_buckets_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "CHUNK", 8)
+@pytest.mark.parametrize("block,shingles,group", [(16, 1 << 22, 1 << 16), (4096, 2000, 1 << 16), (4096, 1 << 22, 10), (16, 2000, 10)])
+def test_blocks_of_large_buckets_and_groups_are_compared(spark, monkeypatch, block, shingles, group):
+    for name, value in (("BLOCK", block), ("BLOCK_SHINGLES", shingles), ("GROUP", group)):
+        monkeypatch.setattr(minhash_dedup, name, value)
     rnd = random.Random(13)
-    texts = [(t, n) for n in range(6) for t in two_groups(rnd, 40, 40)]
+    texts = [(t, n) for n in range(4) for t in two_groups(rnd, 40, 40)]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
-    for block in (4096, 16):
-        monkeypatch.setattr(minhash_dedup, "BLOCK", block, raising=False)
-        got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
-        assert got == {i: n * 82 for i, (_, n) in enumerate(texts)}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
+    assert got == {i: n * 82 for i, (_, n) in enumerate(texts)}
 
 
-def test_blocks_hold_each_pair_of_classes_once(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 10)
-    members = [(k, 1000 * k + i, c) for k, classes in ((1, [7] * 35 + [1, 2, 2, 3]), (2, [5] * 14 + [6] * 23), (3, [1, 2, 2]), (4, list(range(25)))) for i, c in enumerate(classes)]
-    df = spark.createDataFrame(members, "key long, id long, class long")
+def test_halves_of_a_large_group_tied_by_one_pair(spark):
+    texts = two_groups(random.Random(14), 1700, 1700)
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == 3402 and {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+
+
+def test_blocks_hold_each_pair_once(spark):
+    members = [(k, 1000 * k + i, s) for k, sizes in ((1, [1] * 39), (2, [900, 20, 20, 20]), (3, [1, 1]), (4, [1]), (5, [30] * 25)) for i, s in enumerate(sizes)]
     parts = {}
-    for r in blocked(df, df.groupBy("key").agg(F.count("*").alias("n"))).collect():
-        parts.setdefault((r["key"], r["salt"]), ([], []))[r["side"]].append((r["id"], r["class"]))
-    met = [frozenset((x[0], y[0])) for a, b in parts.values() for x, y in (itertools.product(a, b) if b else itertools.combinations(a, 2)) if x[1] != y[1]]
-    assert len(met) == len(set(met)) and set(met) == {frozenset((a[1], b[1])) for a, b in itertools.combinations(members, 2) if a[0] == b[0] and a[2] != b[2]}
-    assert max(len(a) + len(b) for a, b in parts.values()) < 45
+    for r in blocked(spark.createDataFrame(members, "key long, id long, size long"), 10, 300).collect():
+        parts.setdefault((r["key"], r["salt"]), []).append((r["id"], r["block"]))
+    met = [frozenset((x[0], y[0])) for rows in parts.values() for x, y in itertools.combinations(rows, 2) if x[1] != y[1] or len({b for _, b in rows}) == 1 and x[1] == y[1]]
+    want = {frozenset((a[1], b[1])) for a, b in itertools.combinations(members, 2) if a[0] == b[0]}
+    assert set(met) == want and all(len(rows) < 40 for rows in parts.values())
+
+
+def test_weighted_near_duplicates_match_brute_force(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(5))
+    texts = []
+    for _ in range(30):
+        line = [word() for _ in range(8)]
+        base = [word() for _ in range(60)]
+        for _ in range(4):  # the same different shingles, more or less often
+            texts.append(" ".join(base + line * rnd.choice([2, 3, 4, 9, 14])))
+    counts = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    same = lambda a, b: (a & b).total() >= 0.8 * (a | b).total()
+    want = union_find(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if same(counts[i], counts[j])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df, weighted=True).collect()}
+    assert got == dict(enumerate(want))
+    assert len(set(want)) > len({r["class_id"] for r in near_duplicates(df).collect()})
+
+
+def test_rows_of_one_id_with_other_texts_are_texts_of_their_own(spark):
+    near = lambda a, b: f"{a} " + " ".join(f"w{i}" for i in range(60)) + f" {b}"
+    rows = [(7, near("x", "y")), (7, "all other words in this one"), (3, near("x", "z")), (7, near("x", "y")), (9, "all other words in this one")]
+    got = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, True), (7, 3, False), (7, 3, False), (7, 7, True), (9, 7, False)]
 
 
 def test_near_duplicates_odd_rows(spark):
