@@ -8,27 +8,45 @@ from pyspark.sql import functions as F
 from samewise.session import drop_written, written
 
 
+#: An id with more edges than this (and than its share, see _with_least) is a hub.
+HUB = 512
+#: Most hubs, whatever the number of edges.
+HUBS = 100_000
+
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with m, the least of u and its v's. n is at least the number of edges.
+
+    The minima of hubs are broadcast, so that no task gets all edges of one; hubs have more than n / HUBS edges each, so they are
+    HUBS at most. All others meet their minimum by a join.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    most = max(HUB, n // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
+    known = edges.join(hubs, F.col("u") == F.col("hub"), "left")
+    rest = known.where("hub is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return rest.select("u", "v", "m").unionByName(known.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(id, component) of each id that has an edge; component is the smallest id that it reaches.
 
     Alternating large and small stars: each round points every id to the least of its neighbours, so long chains shrink
-    to stars in a logarithmic number of rounds. Neighbourhood minima come from partial aggregates and joins, which the
-    engine can split where one id has very many edges. Each round is written to the shared folder.
+    to stars in a logarithmic number of rounds. Neighbourhood minima come from partial aggregates; see _with_least for
+    ids with very many edges. Each round is written to the shared folder. Edges of an id with itself, and repeated edges, don't matter.
     """
-    cast = lambda c: F.col(c)
-    both = edges.select(cast(left).alias("u"), cast(right).alias("v")).where("u <> v")
+    both = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
     now = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen, n = None, now.count()
     while True:
         mirrored = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = mirrored.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = mirrored.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select("v", "m", "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        large = _with_least(mirrored, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        small = _with_least(large, 2 * n).select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         then = written(small, "edges")
         state = then.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         drop_written(now)
-        now = then
+        now, n = then, state["n"]
         if state == seen:
             break
         seen = state

@@ -33,6 +33,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    from samewise.operators import graph
+
+    monkeypatch.setattr(graph, "HUB", 4)
+    rnd = random.Random(6)
+    edges = [(h, rnd.randint(0, 900)) for h in (450, 3, 899) for _ in range(60)] + [(rnd.randint(0, 900), rnd.randint(0, 900)) for _ in range(200)] + [(950, i) for i in range(951, 990)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in union_find(edges).items() if any(a != b and k in (a, b) for a, b in edges)}
+
+
 def test_canonical_is_idempotent(spark):
     pairs = spark.createDataFrame([(2, 1), (1, 2), (3, 3), (1, 4)], "id_1 long, id_2 long")
     once = blocking.canonical(pairs)
