@@ -2,7 +2,8 @@
 
 A token's score is its log-odds of standing in a toxic document, less an offset that makes ordinary text score below zero.
 Odds have Dirichlet priors: a beginning (first letters) is drawn to the share of toxic documents, a word to its beginning,
-so inflected and unseen forms of known stems count. One linear scan finds all maximal scoring segments of a text; the extreme-value law
+so inflected and unseen forms of known stems count. Words and beginnings are counted in tables of a fixed number of slots, by
+their hash: all of them count, and the tables' size is the same for any corpus (words of one slot share their odds). One linear scan finds all maximal scoring segments of a text; the extreme-value law
 of the greatest segment of ordinary text turns their scores, at the text's length, into significance, and a logistic curve over the
 most significant segment and the sum of the significant ones gives the score. Labels only come from the training documents.
 """
@@ -22,9 +23,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from samewise.llm.words import Words, record_batch, slices, word_hashes
 from samewise.session import drop_written, written
 
-#: Bounds of what is fitted: labelled documents that the token counts come from, and words and beginnings that are remembered.
+#: Labelled documents, at most, that the model is fitted on.
 TRAIN_DOCS = 20_000
-REMEMBERED = 131_072
+#: Slots of the tables of words and of beginnings.
+WORD_SLOTS, START_SLOTS = 1 << 21, 1 << 19
 BEGINNING = 5
 PRIOR = 20.0
 OFFSET = 1.5
@@ -33,44 +35,45 @@ EULER = 0.5772156649015329
 
 @dataclass
 class Tokens:
-    """Scores of remembered words, then of beginnings, for all others `other`; hashes are sorted."""
+    """Scores by slot of words, then of beginnings (nan: none seen), for all others `other`."""
 
     words: np.ndarray
-    word_scores: np.ndarray
     starts: np.ndarray
-    start_scores: np.ndarray
     other: float
 
     def __call__(self, words: Words) -> np.ndarray:
-        out = np.full(len(words), self.other)
-        begin = word_hashes(words.raw, words.starts, np.minimum(words.ends, words.starts + BEGINNING))
-        for h, keys, scores in ((begin, self.starts, self.start_scores), (words.hashes, self.words, self.word_scores)):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                out[hit] = scores[at[hit]]
-        return out
+        word, start = slots(words)
+        out = np.where(np.isnan(self.words[word]), self.starts[start], self.words[word]).astype(np.float64)
+        return np.where(np.isnan(out), self.other, out)
+
+
+def slots(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each word and of its beginning."""
+    begin = word_hashes(words.raw, words.starts, np.minimum(words.ends, words.starts + BEGINNING))
+    return (words.hashes % np.uint64(WORD_SLOTS)).astype(np.int64), (begin % np.uint64(START_SLOTS)).astype(np.int64)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, sum) in linear time: each candidate joins those before it that it improves."""
+    """All maximal scoring segments (start, end, sum) in linear time: each candidate joins those before it that it improves.
+
+    Each candidate knows the last one before it with a smaller sum on its left, so those in between are never looked at again.
+    """
     total = 0.0
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum up to the end
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum up to the end, the candidate that it knows
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        left, right, start, end = before, total, i, i + 1
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
-                break
-            left, start = found[j][2], found[j][0]
+        start, left = i, before
+        j = len(found) - 1
+        while j >= 0 and found[j][2] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < total:
+            start, _, left, _, known = found[j]
             del found[j:]
-        found.append((start, end, left, right))
-    return [(a, b, r - l) for a, b, l, r in found]
+            j = known
+        found.append((start, i + 1, left, total, j))
+    return [(a, b, r - l) for a, b, l, r, _ in found]
 
 
 def text_segments(words: Words, scores: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
@@ -124,12 +127,12 @@ class ToxicityModel:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Toxic and other documents that hold each word (with its beginning) and each beginning."""
+    """Toxic and other documents that hold a word of each slot (with the beginning's slot), and a beginning of each slot."""
     for table in slices(batches):
         words = Words(table["text"], plain=True)
         toxic = table["toxic"].to_numpy().astype(np.int64)
-        begin = word_hashes(words.raw, words.starts, np.minimum(words.ends, words.starts + BEGINNING))
-        for kind, h in (("word", words.hashes), ("start", begin)):
+        word, begin = slots(words)
+        for kind, h in ((0, word), (1, begin)):
             order = np.lexsort((words.texts, h))
             new = np.ones(len(h), bool)
             new[1:] = (h[order][1:] != h[order][:-1]) | (words.texts[order][1:] != words.texts[order][:-1])
@@ -137,18 +140,30 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, first, inverse = np.unique(h[order], return_index=True, return_inverse=True)
             n1 = np.bincount(inverse, weights=toxic[words.texts[order]], minlength=len(values)).astype(np.int64)
             n = np.bincount(inverse, minlength=len(values))
-            yield record_batch(["kind", "h", "begin", "n1", "n0"], [pa.array([kind] * len(values), pa.string()), values.view(np.int64), begin[order][first].view(np.int64), n1, n - n1])
+            least = np.minimum.reduceat(begin[order], first) if len(first) else first
+            yield record_batch(["kind", "slot", "begin", "n1", "n0"], [np.full(len(values), kind, np.int32), values, least, n1, n - n1])
 
 
-def _statistics(tokens: Tokens):
+def _greatest(tokens: Tokens):
+    """Of each document toxic, its words and the greatest segment (0: none); counts of token scores once for a batch."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches):
             words = Words(table["text"], plain=True)
             scores = tokens(words)
-            rows = list(text_segments(words, scores))
+            rows = [(n, max((s for _, _, s in found), default=0.0)) for n, found in text_segments(words, scores)]
             hist = np.histogram(np.clip(scores, -8, 8), bins=320, range=(-8, 8))[0]
-            n = len(rows)
-            yield record_batch(["toxic", "n", "sums", "hist"], [table["toxic"].combine_chunks(), pa.array([r[0] for r in rows], pa.int64()), pa.array([[x[2] for x in r[1]] for r in rows], pa.list_(pa.float64())), pa.array([hist.tolist()] + [None] * (n - 1), pa.list_(pa.int64()))])
+            yield record_batch(["toxic", "n", "best", "hist"], [table["toxic"].combine_chunks(), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([hist.tolist()] + [None] * (len(rows) - 1), pa.list_(pa.int64()))])
+
+    return work
+
+
+def _statistics(tokens: Tokens, law: Calibration):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in slices(batches):
+            words = Words(table["text"], plain=True)
+            rows = [law.statistics(n, found) for n, found in text_segments(words, tokens(words))]
+            yield record_batch(["toxic", "most", "all"], [table["toxic"].combine_chunks(), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64())])
 
     return work
 
@@ -177,48 +192,55 @@ def _rate(values: np.ndarray, shares: np.ndarray) -> float:
     return high
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, remembered: int = REMEMBERED) -> ToxicityModel:
-    """From labels (doc_id, toxic; nulls are left out, of repeated ids the greatest label counts). At most train_docs documents, chosen by a hash of doc_id, are learnt from."""
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
+    """From docs (doc_id, text) and labels (doc_id, toxic; nulls are left out, of repeated ids the greatest label counts).
+
+    At most train_docs labels, chosen by a hash of doc_id, are learnt from, and of each no more than its counts and three numbers
+    come to the driver. Without documents of either label the share of toxic labels, smoothed, is every text's score.
+    """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     train = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-train")  # train_docs rows at most are broadcast
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), sum(n for k, n in size.items() if k != 1)
     share = (n1 + 0.5) / (n1 + n0 + 1)
-    if not n1 or not n0:
-        none = np.zeros(0, np.uint64)
-        return ToxicityModel(Tokens(none, np.zeros(0), none, np.zeros(0), -OFFSET), Calibration(1.0, 0.0, (math.log(share / (1 - share)), 0.0, 0.0)))
-    counted = train.mapInArrow(_counts, "kind string, h long, begin long, n1 long, n0 long").groupBy("kind", "h").agg(F.min("begin").alias("begin"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 + n0 > 2")
-    counted = written(counted, "toxic-counts")
-    most = lambda kind: counted.where(F.col("kind") == kind).orderBy(F.desc(F.col("n1") + F.col("n0")), "h").limit(remembered).select("h", "begin", "n1", "n0").toPandas()
     base = math.log(share / (1 - share))
-    starts, words = most("start"), most("word")
-    start_share = (starts["n1"] + PRIOR * share) / (starts["n1"] + starts["n0"] + PRIOR)
-    prior = words["begin"].map(dict(zip(starts["h"], start_share, strict=True))).fillna(share)
-    word_share = (words["n1"] + PRIOR * prior) / (words["n1"] + words["n0"] + PRIOR)
-
-    def table(frame, p) -> tuple[np.ndarray, np.ndarray]:
-        h = frame["h"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        return h[order], (np.log(p / (1 - p)) - base - OFFSET).to_numpy()[order]
-
-    tokens = Tokens(*table(words, word_share), *table(starts, start_share), -OFFSET)
-    rows = train.mapInArrow(_statistics(tokens), "toxic int, n long, sums array<double>, hist array<long>").toPandas()  # train_docs rows at most
+    seen = [np.full(n, np.nan, np.float32) for n in (WORD_SLOTS, START_SLOTS)]
+    if not n1 or not n0:
+        drop_written(train)
+        return ToxicityModel(Tokens(*seen, -OFFSET), Calibration(1.0, 0.0, (base, 0.0, 0.0)))
+    counted = train.mapInArrow(_counts, "kind int, slot long, begin long, n1 long, n0 long").groupBy("kind", "slot").agg(F.min("begin").alias("begin"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toPandas()  # slots at most
+    words, starts = counted[counted["kind"] == 0], counted[counted["kind"] == 1]
+    prior = np.full(START_SLOTS, share)
+    prior[starts["slot"]] = (starts["n1"] + PRIOR * share) / (starts["n1"] + starts["n0"] + PRIOR)
+    word_share = (words["n1"] + PRIOR * prior[words["begin"]]) / (words["n1"] + words["n0"] + PRIOR)
+    for scores, slot, p in zip(seen, (words["slot"], starts["slot"]), (word_share.to_numpy(), prior[starts["slot"]]), strict=True):
+        scores[slot] = np.log(p / (1 - p)) - base - OFFSET
+    tokens = Tokens(*seen, -OFFSET)
+    held = docs.sparkSession.sparkContext.broadcast(tokens)  # WORD_SLOTS + START_SLOTS numbers
+
+    def told(step, *more):
+        return lambda batches: step(held.value, *more)(batches)
+
+    rows = train.mapInArrow(told(_greatest), "toxic int, n long, best double, hist array<long>").toPandas()  # train_docs rows at most
     hist = np.sum([h for h in rows["hist"] if h is not None], axis=0)
-    rate = _rate(np.linspace(-8, 8, 321)[:-1] + 0.025, hist / hist.sum())
-    plain = [(rate * max(s) - math.log(n)) for t, n, s in zip(rows["toxic"], rows["n"], rows["sums"], strict=True) if t == 0 and len(s)]
-    law = Calibration(rate, (float(np.mean(plain)) - EULER) if plain else 0.0, (0.0, 0.0, 0.0))
-    x = np.array([law.statistics(n, [(0, 0, v) for v in s]) for n, s in zip(rows["n"], rows["sums"], strict=True)])
-    x = np.minimum(x, [50.0, 200.0])
-    drop_written(counted)
+    rate = _rate(np.linspace(-8, 8, 321)[:-1] + 0.025, hist / max(1, hist.sum()))
+    plain = rows[(rows["toxic"] == 0) & (rows["best"] > 0)]
+    law = Calibration(rate, float((rate * plain["best"] - np.log(plain["n"])).mean()) - EULER if len(plain) else 0.0, (0.0, 0.0, 0.0))
+    rows = train.mapInArrow(told(_statistics, law), "toxic int, most double, all double").toPandas()  # train_docs rows at most
+    x = np.minimum(rows[["most", "all"]].to_numpy(), [50.0, 200.0])
     drop_written(train)
     return ToxicityModel(tokens, Calibration(rate, law.log_k, tuple(_logistic(x, (rows["toxic"] == 1).to_numpy().astype(float)))))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs (with text) and score, from 0 to 1. Null texts count as empty; only the text enters."""
+    """docs (with text, further columns stay; a column score is replaced) and score, from 0 to 1: a row for each row.
+
+    Null texts count as empty, and a text without words scores as one without toxic passages; only the text enters, so equal texts have
+    equal scores. An empty table gives an empty result. A text of any length is scored in linear time.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * REMEMBERED tokens
+    held = docs.sparkSession.sparkContext.broadcast(model)  # WORD_SLOTS + START_SLOTS numbers
     rest = docs.drop("score")
     schema = StructType([*rest.schema.fields, StructField("score", DoubleType())])
     arrow = to_arrow_schema(schema)

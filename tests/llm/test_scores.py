@@ -1,7 +1,13 @@
+import itertools
+import math
 import random
+import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from samewise.llm import quality as q
 from samewise.llm import toxicity as t
@@ -33,6 +39,14 @@ def test_maximal_segments():
         assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+def test_maximal_segments_are_found_in_linear_time():
+    rnd = random.Random(3)
+    falling = [rnd.choice([1.0, 2.0]) if i % 2 else -2.5 for i in range(1_000_000)]
+    start = time.perf_counter()
+    assert len(t.maximal_segments(falling)) == 500_000
+    assert time.perf_counter() - start < 20
+
+
 def toxic_corpus(n=900):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 6)))
@@ -63,6 +77,111 @@ def test_toxicity_learns_words_and_stems(spark):
     assert t.toxicity(docs.where("false").select("doc_id", "text"), t.fit(docs.where("false"), labels)).count() == 0
 
 
+def plain_score(docs, labels):
+    """The whole score by dictionaries and exhaustive search, for {id: text} and {id: label}."""
+
+    def tokens(text):
+        out = []
+        for c in text or "":
+            if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×"):
+                c = c.lower()
+            out.append(" " if c < "\x80" and not c.isalnum() else c)
+        return "".join(out).split(" ")
+
+    words = {i: [w.encode() for w in tokens(x) if w] for i, x in docs.items()}
+    train = [i for i in labels if i in docs]
+    share = (sum(labels[i] for i in train) + 0.5) / (len(train) + 1)
+    base = math.log(share / (1 - share))
+    counts = [{}, {}]
+    for i in train:
+        for k, names in enumerate(({w for w in words[i]}, {w[:5] for w in words[i]})):
+            for w in names:
+                counts[k].setdefault(w, [0, 0])[labels[i]] += 1
+    start = {b: (n[1] + 20 * share) / (sum(n) + 20) for b, n in counts[1].items()}
+    odds = {w: (n[1] + 20 * start[w[:5]]) / (sum(n) + 20) for w, n in counts[0].items()}
+
+    def score(w):
+        p = odds.get(w, start.get(w[:5]))
+        return -1.5 if p is None else math.log(p / (1 - p)) - base - 1.5
+
+    def segments(i):
+        s = [score(w) for w in words[i]]
+        sums = [0.0, *itertools.accumulate(s)]
+        found, todo = [], [(0, len(s))]
+        while todo:
+            a, b = todo.pop()
+            best = max(((sums[y] - sums[x], x - y, -x, x, y) for x in range(a, b) for y in range(x + 1, b + 1)), default=(0,))
+            if best[0] > 0:
+                found.append(best[0])
+                todo += [(a, best[3]), (best[4], b)]
+        return found
+
+    hist = Counter(min(319, int((max(-8, min(8, score(w))) + 8) * 20)) for i in train for w in words[i])
+    total = sum(hist.values())
+    grow = lambda r: sum(n / total * math.exp(r * (-8 + k * 0.05 + 0.025)) for k, n in hist.items())
+    low, high = 1e-6, 1.0
+    while grow(high) < 1 and high < 64:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if grow(mid) < 1 else (low, mid)
+    each = {i: segments(i) for i in docs}
+    best = [high * max(each[i]) - math.log(len(words[i])) for i in train if not labels[i] and each[i]]
+    log_k = sum(best) / len(best) - 0.5772156649015329
+
+    def statistics(i):
+        excess = [high * s - log_k - math.log(max(1, len(words[i]))) for s in each[i]]
+        return [1.0, min(50, max([0.0, *excess])), min(200, sum(x for x in excess if x > 0))]
+
+    x, y = np.array([statistics(i) for i in train]), np.array([labels[i] for i in train], float)
+    w = np.zeros(3)
+    for _ in range(400):  # the same ridge, by small steps of Newton's method
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= 0.5 * np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(3), x.T @ (p - y) + 1e-2 * w)
+    return {i: 1 / (1 + math.exp(-float(np.dot(statistics(i), w)))) for i in docs}
+
+
+def test_scores_match_a_plain_version(spark):
+    rows = [(i, x + " zorg" * (i % 17 == 3), y) for i, x, y in toxic_corpus(260)]
+    docs = {i: x for i, x, _ in rows} | {1000: None, 1001: "", 1002: "ZORG Été, zorg! " * 8}
+    labels = {i: y for i, _, y in rows if i % 3}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    model = t.fit(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in t.toxicity(df, model).collect()}
+    want = plain_score(docs, labels)
+    assert model.calibration.log_k != 0 and got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 2e-3 and got[1000] == got[1001] and got[1002] > 0.5
+
+
+def test_toxicity_query_learns_from_rows_that_are_not_held_out(spark, tmp_path):
+    from samewise.llm.queries import op6_toxicity
+
+    rows = [(None, "zorg of a null id"), *((i, x) for i, x, _ in toxic_corpus(300))]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    spark.createDataFrame([(i, x, 1.0) for i, x in rows], "doc_id long, text string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    results = []
+    for n, lie in enumerate((0, 1)):  # labels of held-out rows must not matter
+        labels = [(i, (y ^ lie) if out(i) else y, 1) for i, _, y in toxic_corpus(300)] + [(None, 1, 1)]
+        spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        spark.catalog.clearCache()
+        results.append({r["doc_id"]: tuple(r)[1:] for r in op6_toxicity(spark, str(tmp_path)).collect()})
+        assert n or op6_toxicity(spark, str(tmp_path)).columns == ["doc_id", "held_out", "score", "predicted"]
+    assert results[0] == results[1] and len(results[0]) == 301
+    for i, (held, score, predicted) in results[0].items():
+        assert held == (True if i is None else out(i)) and predicted == int(score >= 0.5) and 0 <= score <= 1
+
+
+@pytest.mark.parametrize("word", ["zorg ", "abc "])
+def test_very_long_texts_are_scored(spark, word):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    model = t.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    rnd = random.Random(1)
+    text = " ".join(word if rnd.random() < 0.3 else rnd.choice(rows)[1].split()[0] for _ in range(150_000))
+    start = time.perf_counter()
+    assert 0 <= t.toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()["score"] <= 1
+    assert time.perf_counter() - start < 30
+
+
 def test_label_model_finds_reasons_without_labels():
     rng = np.random.default_rng(3)
     k, n = len(q.LABELLERS), 6000
