@@ -1,7 +1,8 @@
 """A compressed full-text index over sequences of integers, in numpy, for patterns of bounded length.
 
 Suffixes are sorted by their first `depth` symbols only, which is all that backward search of patterns of up to `depth`
-symbols needs. The Burrows-Wheeler transform is held in a wavelet matrix of packed bits with a count for each 64.
+symbols needs. The Burrows-Wheeler transform is held in a wavelet matrix of packed bits with a count for each 64, and where
+suffixes begin to differ in packed bits too. The sorted suffixes themselves are only there while an index is built.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ class PackedBits:
         low = self.words[at] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
         return self.counts[at] + np.bitwise_count(low)
 
+    @property
+    def n_bytes(self) -> int:
+        return self.words.nbytes + self.counts.nbytes
+
 
 class WaveletMatrix:
     """rank(symbol, i) over a sequence, in as many steps as a symbol has bits."""
@@ -55,9 +60,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a text of symbols 1..n_symbols-1; 0 separates sequences. Patterns of up to depth (2 at least) symbols can be searched."""
+    """Index of a text of symbols 1..n_symbols-1; 0 separates sequences. Patterns of up to depth (2 at least) symbols can be searched.
+
+    With values, one for each place of the text, least holds the least value of each group of suffixes that agree in depth symbols.
+    """
 
-    def __init__(self, text: np.ndarray, n_symbols: int, depth: int):
+    def __init__(self, text: np.ndarray, n_symbols: int, depth: int, values: np.ndarray | None = None):
         text = np.asarray(text, np.int64)
         n = len(text)
         self.depth, self.n = depth, n
@@ -71,16 +79,21 @@ class FMIndex:
             rank = self._pairs(rank, step)
             span += step
         order = np.argsort(rank, kind="stable")
-        self.suffixes = order
-        self.group = self._groups(rank[order])  # of suffixes that agree in depth symbols
-        self.near = self._groups(shorter[order])  # and in depth - 1
-        self.near_ends = np.append(np.flatnonzero(np.diff(self.near)) + 1, n)
-        self.near_starts = np.append(0, self.near_ends[:-1])
-        self.group_starts = np.append(0, np.flatnonzero(np.diff(self.group)) + 1) if n else np.zeros(0, np.int64)
+        new = self._new(rank[order])  # where suffixes that agree in depth symbols begin
+        self.groups = PackedBits(new)
+        self.least = np.minimum.reduceat(values[order], np.flatnonzero(new)) if values is not None and n else None
+        new = self._new(shorter[order])  # and in depth - 1
+        self.near = PackedBits(new)
+        self.near_starts = np.append(np.flatnonzero(new), n)
         self.before = np.zeros(n_symbols + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=n_symbols), out=self.before[1:])
         self.bwt = WaveletMatrix(text[order - 1], n_symbols)
 
+    @property
+    def n_bytes(self) -> int:
+        """Bytes of the index."""
+        return sum(b.n_bytes for b in (*self.bwt.bits, self.groups, self.near)) + self.near_starts.nbytes + self.before.nbytes + self.bwt.base.nbytes + (0 if self.least is None else self.least.nbytes)
+
     @staticmethod
     def _pairs(rank: np.ndarray, step: int) -> np.ndarray:
         n = len(rank)
@@ -89,19 +102,15 @@ class FMIndex:
         return np.unique(rank * (int(rank.max(initial=0)) + 2) + after, return_inverse=True)[1].astype(np.int64)
 
     @staticmethod
-    def _groups(sorted_ranks: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(sorted_ranks), np.int64)
-        np.cumsum(sorted_ranks[1:] != sorted_ranks[:-1], out=out[1:])
+    def _new(sorted_ranks: np.ndarray) -> np.ndarray:
+        out = np.ones(len(sorted_ranks), bool)
+        out[1:] = sorted_ranks[1:] != sorted_ranks[:-1]
         return out
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: from the rows of X to the rows of symbol + X."""
         return self.before[symbol] + self.bwt.rank(symbol, low), self.before[symbol] + self.bwt.rank(symbol, high)
 
-    def group_least(self, values: np.ndarray) -> np.ndarray:
-        """Least value (one for each text position) of each group of suffixes that agree in depth symbols."""
-        return np.minimum.reduceat(values[self.suffixes], self.group_starts)
-
     def windows(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of streamed sequences flat[s:e], bounded by depth, read from right to left, all sequences together.
 
@@ -120,8 +129,8 @@ class FMIndex:
             lo, hi, size = low[alive], high[alive], length[alive]
             full = size == self.depth
             if full.any():
-                near = self.near[lo[full]]
-                lo[full], hi[full] = self.near_starts[near], self.near_ends[near]
+                near = self.near.rank(lo[full] + 1) - 1
+                lo[full], hi[full] = self.near_starts[near], self.near_starts[near + 1]
                 size[full] -= 1
             lo, hi = self.step(flat[at], lo, hi)
             size += 1
@@ -131,7 +140,7 @@ class FMIndex:
             low[alive], high[alive], length[alive] = lo, hi, size
             done = size == self.depth
             if done.any():
-                found.append((alive[done], at[done], self.group[lo[done]]))
+                found.append((alive[done], at[done], self.groups.rank(lo[done] + 1) - 1))
             place[alive] = at - 1
             alive = alive[at > starts[alive]]
         if not found:

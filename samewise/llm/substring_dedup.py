@@ -5,9 +5,9 @@ doc_id; passages are judged on the input. The work is exact and has bounded piec
 
 1. Texts are packed in blocks of about 4 MB, written once.
 2. Each passage belongs to its anchor, the least hash of its runs of `seed` words. Blocks send each anchor that they hold
-   once, with the number of documents, to the anchor's shard, which answers the anchors of two or more documents.
-3. For those, blocks send their different runs of passages with one anchor, with the least and greatest doc_id, to the
-   anchor's shard. An anchor of very many documents sends single passages, which are dealt by their own hash: so a passage
+   once, as one row with the number of documents, and get those of two or more documents back.
+3. For those, blocks send their different runs of passages with one anchor, one row for each with the least and greatest doc_id, to
+   the anchor's shard. An anchor of very many documents sends single passages, which are dealt by their own hash: so a passage
    that a third of all documents share takes one row from a block and no shard takes more than its share.
 4. A shard builds an FM-index of its runs, streams the runs through it, and gives each passage's least doc_id back.
 5. Blocks mark the words and join what is left.
@@ -22,9 +22,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samewise.llm.fmindex import FMIndex
@@ -38,6 +38,9 @@ FREQUENT = 2000
 #: Most passages in a run.
 RUN = 32
 SHARD_BYTES = 12 << 20
+#: Text of a block, and of what a shuffle's task gets at most.
+BLOCK_BYTES = 4 << 20
+TASK_BYTES = 256 << 20
 NO_ID = 2**63 - 1
 
 
@@ -98,75 +101,52 @@ def _candidates(words: Words, known: pa.Table, window: int, seed: int) -> tuple[
     return start, size, content, np.where(frequent[row], content, own[row])
 
 
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(h, 3) % np.uint64(shards)).astype(np.int64)
-
-
-def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        if bounds[s] < bounds[s + 1]:
-            yield s, order[bounds[s] : bounds[s + 1]]
-
-
-def send_anchors(shards: int, window: int, seed: int):
+def send_anchors(window: int, seed: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch["block"].to_pylist(), batch["blob"], strict=True):
                 words = Words(unpacked(blob.as_py())["text"])
                 values, counts = _counts(words, *anchors(words, window, seed))
-                rows = [(s, packed(pa.table({"a": values[i], "n": np.minimum(counts[i], 2**31 - 1).astype(np.int32)}))) for s, i in _by_shard(_shard_of(values, shards), shards)]
-                yield record_batch(["shard", "block", "blob"], [pa.array([s for s, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())])
+                yield record_batch(["key", "block", "n"], [values.view(np.int64), np.full(len(values), block), counts.astype(np.int64)])
 
     return send
 
 
-def answer_anchors(key, pdf):
-    """For each block, its anchors that two documents or more have, and whether very many have them."""
-    tables = [unpacked(b) for b in pdf["blob"]]
-    each = [t["a"].to_numpy() for t in tables]
-    all_a = np.concatenate(each)
-    values, inverse = np.unique(all_a, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([t["n"].to_numpy() for t in tables])).astype(np.int64)
-    out, at = [], 0
-    for block, a in zip(pdf["block"], each, strict=True):
-        n = total[inverse[at : at + len(a)]]
-        at += len(a)
-        if (keep := n >= 2).any():
-            out.append((block, packed(pa.table({"a": a[keep], "many": n[keep] > FREQUENT}))))
-    return pd.DataFrame(out, columns=["block", "blob"])
+RUNS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("run", pa.binary()), ("least", pa.int64()), ("most", pa.int64())])
+
+
+def _known(rows: pa.Table) -> pa.Table:
+    """Anchors with whether very many documents have them."""
+    return pa.table({"a": rows["key"].to_numpy().view(np.uint64), "many": rows["many"]})
 
 
 def send_runs(shards: int, window: int, seed: int):
-    def send(key, blocks, known):
-        if not len(blocks) or not len(known):
-            return pd.DataFrame({"shard": [], "block": [], "blob": []})
-        table = unpacked(blocks["blob"].iloc[0])
+    def send(key, blocks: pa.Table, known: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not known.num_rows:
+            return RUNS.empty_table()
+        table = unpacked(blocks["blob"][0].as_py())
         words, ids = Words(table["text"]), _ids(table)
-        start, size, content, dealt = _candidates(words, pa.concat_tables([unpacked(b) for b in known["blob"]]), window, seed)
+        start, size, content, dealt = _candidates(words, _known(known), window, seed)
         _, which, inverse = np.unique(content, return_index=True, return_inverse=True)
         own = ids[words.texts[start]]
         least, most = np.full(len(which), NO_ID), np.full(len(which), -(2**63))
         np.minimum.at(least, inverse, own)
         np.maximum.at(most, inverse, own)
-        rows = []
-        for s, i in _by_shard(_shard_of(dealt[which], shards), shards):
-            w = which[i]
-            texts = [words.raw[a:b].tobytes() for a, b in zip(words.starts[start[w]], words.ends[start[w] + size[w] + window - 2], strict=True)]
-            rows.append((s, key[0], packed(pa.table({"run": pa.array(texts, pa.large_binary()), "least": least[i], "most": most[i]}))))
-        return pd.DataFrame(rows, columns=["shard", "block", "blob"])
+        raw = words.raw.tobytes()
+        texts = [raw[a:b] for a, b in zip(words.starts[start[which]].tolist(), words.ends[start[which] + size[which] + window - 2].tolist(), strict=True)]
+        shard = (mix(dealt[which], 3) % np.uint64(shards)).astype(np.int64)
+        return pa.table([shard, np.full(len(which), blocks["block"][0].as_py()), pa.array(texts, pa.binary()), least, most], schema=RUNS)
 
     return send
 
 
+ANSWERS = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("least", pa.list_(pa.int64()))])
+
+
 def match_runs(window: int):
     """A shard: all runs in an FM-index, all runs streamed through it; each passage's least doc_id, for the blocks that need it."""
 
-    def match(key, pdf):
-        tables = [unpacked(b) for b in pdf["blob"]]
-        sizes = [t.num_rows for t in tables]
-        runs = pa.concat_tables(tables)
+    def match(runs: pa.Table) -> pa.Table:
         words = Words(runs["run"].cast(pa.large_string()))
         start, end = words.firsts[:-1], words.firsts[1:]
         content = run_hashes(words.hashes, start, end)
@@ -182,39 +162,32 @@ def match_runs(window: int):
         text[np.repeat(at, length) + inner] = symbols[np.repeat(start, length) + inner] + 1
         of = np.full(len(text), NO_ID)
         of[np.repeat(at, length) + inner] = np.repeat(least, length)
-        index = FMIndex(text, len(vocabulary) + 1, window)
+        index = FMIndex(text, len(vocabulary) + 1, window, of)
         run, place, group = index.windows(text, at, at + length)
         passages = length - window + 1
         base = np.cumsum(passages) - passages
         answer = np.full(int(passages.sum()), NO_ID)
-        answer[base[run] + place - at[run]] = index.group_least(of)[group]
+        answer[base[run] + place - at[run]] = index.least[group]
         lowest = np.minimum.reduceat(answer, base)
-        out, row = [], 0
-        for block, n, table in zip(pdf["block"], sizes, tables, strict=True):
-            mine = inverse[row : row + n]
-            row += n
-            need = lowest[mine] < table["most"].to_numpy()
-            if need.any():
-                k = mine[need]
-                flat = np.repeat(base[k], passages[k]) + np.arange(int(passages[k].sum())) - np.repeat(np.cumsum(passages[k]) - passages[k], passages[k])
-                lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(passages[k])), pa.array(answer[flat]))
-                out.append((block, packed(pa.table({"content": content[which[k]], "least": lists}))))
-        return pd.DataFrame(out, columns=["block", "blob"])
+        need = np.flatnonzero(lowest[inverse] < runs["most"].to_numpy())
+        k = inverse[need]
+        flat = np.repeat(base[k], passages[k]) + np.arange(int(passages[k].sum())) - np.repeat(np.cumsum(passages[k]) - passages[k], passages[k])
+        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(passages[k])).astype(np.int32), pa.array(answer[flat]))
+        return pa.table([runs["block"].to_numpy()[need], content[which[k]].view(np.int64), lists], schema=ANSWERS)
 
     return match
 
 
-def mark(words: Words, ids: np.ndarray, answers: list[pa.Table], known: list[pa.Table], window: int, seed: int) -> np.ndarray:
+def mark(words: Words, ids: np.ndarray, answer: pa.Table, known: pa.Table, window: int, seed: int) -> np.ndarray:
     """Which words go."""
     cover = np.zeros(len(words) + 1, np.int64)
-    if answers and known:
-        answer = pa.concat_tables(answers).combine_chunks()
-        content = answer["content"].to_numpy()
+    if answer.num_rows and known.num_rows:
+        content = answer["key"].to_numpy().view(np.uint64)
         order = np.argsort(content)
         lists = answer["least"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        start, size, own, _ = _candidates(words, pa.concat_tables(known), window, seed)
+        start, size, own, _ = _candidates(words, _known(known), window, seed)
         at = np.minimum(np.searchsorted(content[order], own), len(order) - 1)
         hit = content[order][at] == own
         start, size, row = start[hit], size[hit], order[at[hit]]
@@ -252,9 +225,9 @@ def finish(window: int, seed: int, schema: pa.Schema, digest: bool):
         if not blocks.num_rows:
             return schema.empty_table()
         table = unpacked(blocks["blob"][0].as_py())
-        told = list(zip(told["kind"].to_pylist(), told["blob"].to_pylist(), strict=True))
         words, ids = Words(table["text"]), _ids(table)
-        gone = mark(words, ids, [unpacked(b) for k, b in told if k == 2], [unpacked(b) for k, b in told if k == 1], window, seed)
+        answer = pc.is_valid(told["least"])
+        gone = mark(words, ids, told.filter(answer), told.filter(pc.invert(answer)), window, seed)
         rows = list(kept_texts(words, gone))
         found = {"n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64())}
         if digest:
@@ -266,7 +239,7 @@ def finish(window: int, seed: int, schema: pa.Schema, digest: bool):
     return work
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, digest: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, digest: bool = False, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text, further columns) with repeated passages removed from text, and n_words and n_removed.
 
     A text that loses nothing stays as it is; else its kept words are joined by one space. With digest, kept_sha256 (of
@@ -274,18 +247,24 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, dig
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    blocks = written(in_blocks(docs), "substring-blocks", codec="none")
+    blocks = written(in_blocks(docs, block_bytes), "substring-blocks", codec="none")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(16, -(-total // SHARD_BYTES))
-    dealt = blocks.mapInArrow(send_anchors(shards, window, seed), "shard int, block long, blob binary")
-    known = dealt.groupBy("shard").applyInPandas(answer_anchors, "block long, blob binary")
-    known = written(known, "substring-anchors", codec="none")
-    own = blocks.select("block", "blob").groupBy("block")  # both uses below share one exchange
-    runs = own.cogroup(known.groupBy("block")).applyInPandas(send_runs(shards, window, seed), "shard int, block long, blob binary")
-    answers = runs.groupBy("shard").applyInPandas(match_runs(window), "block long, blob binary").select("block", F.lit(2).alias("kind"), "blob")
+    shards = max(16, -(-total // shard_bytes))
+
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        """Over more partitions than the session has, if the corpus needs them."""
+        parts = -(-total // TASK_BYTES)
+        return df.repartition(parts, *keys) if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+    sent = dealt(blocks.mapInArrow(send_anchors(window, seed), "key long, block long, n long"), "key")
+    known = sent.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1")
+    known = written(known.select("block", "key", (F.col("total") > FREQUENT).alias("many")), "substring-anchors", codec="lz4")
+    own = dealt(blocks.select("block", "blob"), "block").groupBy("block")  # both uses below share one exchange
+    runs = own.cogroup(known.groupBy("block")).applyInArrow(send_runs(shards, window, seed), "shard long, block long, run binary, least long, most long")
+    answers = dealt(runs, "shard").groupBy("shard").applyInArrow(match_runs(window), "block long, key long, least array<long>")
     kept = [f for f in docs.schema.fields if f.name not in ("n_words", "n_removed", "kept_sha256") and not (digest and f.name == "text")]
     schema = docs.select(*[F.col(f"`{f.name}`") for f in kept]).schema.add("n_words", "long").add("n_removed", "long")
     if digest:
         schema = schema.add("kept_sha256", "string")
-    told = known.select("block", F.lit(1).alias("kind"), "blob").unionByName(answers)
+    told = known.withColumn("least", F.lit(None).cast("array<long>")).unionByName(answers.withColumn("many", F.lit(None).cast("boolean")))
     return own.cogroup(told.groupBy("block")).applyInArrow(finish(window, seed, to_arrow_schema(schema), digest), schema)

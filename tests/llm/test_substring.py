@@ -69,6 +69,20 @@ def test_frequent_anchors_send_single_passages(spark, monkeypatch):
     assert (size == 1).all() and (content == dealt).all() and sorted(start) == sorted(places)
 
 
+def test_small_shards_and_blocks_change_nothing(spark):
+    """What a corpus a thousand times larger would look like to a shard and to a block."""
+    rows = corpus(90, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(substring_dedup(df, digest=True, shard_bytes=300, block_bytes=700)) == plain_dedup(rows)
+
+
+def test_index_is_compressed():
+    rng = np.random.default_rng(1)
+    text = np.concatenate([np.append(0, rng.integers(1, 2000, 60)) for _ in range(2000)] * 3 + [[0]])
+    index = FMIndex(text, 2000, 13)
+    assert index.n_bytes < 8 * len(text)  # 11 bits a word, two bits for groups, their counts, and a start for each near group
+
+
 def test_empty_table_and_text_output(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     out = substring_dedup(empty)
@@ -93,13 +107,12 @@ def test_rank_structures():
 def test_index_finds_windows_of_foreign_sequences():
     rng = np.random.default_rng(4)
     text = np.concatenate([[0], rng.integers(1, 5, 400), [0], rng.integers(1, 5, 300), [0]])
-    index = FMIndex(text, 6, 6)
+    index = FMIndex(text, 6, 6, np.arange(len(text)))
     query = rng.integers(1, 6, 500)
     _, place, group = index.windows(query, np.array([0]), np.array([500]))
     have = {tuple(text[i : i + 6]) for i in range(len(text) - 5)}
     assert sorted(place) == [i for i in range(495) if tuple(query[i : i + 6]) in have]
-    least = index.group_least(np.arange(len(text)))
     first = {}
     for i in range(len(text) - 5):
         first.setdefault(tuple(text[i : i + 6]), i)
-    assert all(least[g] == first[tuple(query[p : p + 6])] for p, g in zip(place, group, strict=True))
+    assert all(index.least[g] == first[tuple(query[p : p + 6])] for p, g in zip(place, group, strict=True))
