@@ -258,7 +258,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, dig
 
     sent = dealt(blocks.mapInArrow(send_anchors(window, seed), "key long, block long, n long"), "key")
     known = sent.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1")
-    known = written(known.select("block", "key", (F.col("total") > FREQUENT).alias("many")), "substring-anchors", codec="lz4")
+    known = written(known.select("block", "key", (F.col("total") > FREQUENT).alias("many")), "substring-anchors")
     own = dealt(blocks.select("block", "blob"), "block").groupBy("block")  # both uses below share one exchange
     runs = own.cogroup(known.groupBy("block")).applyInArrow(send_runs(shards, window, seed), "shard long, block long, run binary, least long, most long")
     answers = dealt(runs, "shard").groupBy("shard").applyInArrow(match_runs(window), "block long, key long, least array<long>")
