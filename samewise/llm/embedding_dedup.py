@@ -31,6 +31,7 @@ BLOCK = 4096
 LEAF = 1024
 #: Leading axes that are looked at before all of them.
 HEAD = 16
+SUM_TASKS = 16
 #: Rounding of boxes and cells may not exclude a pair: distances are compared with this much more.
 SLACK = 1e-6
 
@@ -69,22 +70,45 @@ def _cells(axes: np.ndarray, eps: float, grid: int):
     return work
 
 
+_SUMS = "n long, s array<double>, c array<double>"
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number, sum and sum of products of unit vectors: one row for a task."""
     total = None
     for b in batches:
         if b.num_rows:
             x = _matrix(b["v"])
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            part = [len(x), x.sum(0), x.T @ x]
+            part = [len(x), x.sum(0), (x.T @ x).ravel()]
             total = part if total is None else [p + q for p, q in zip(total, part, strict=True)]
+    yield from _sums(total)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sums as one row, read one after another."""
+    total = None
+    for b in batches:
+        for i in range(b.num_rows):
+            part = [b["n"][i].as_py(), *(b[c][i].values.to_numpy() for c in ("s", "c"))]
+            total = part if total is None else [p + q for p, q in zip(total, part, strict=True)]
+    yield from _sums(total)
+
+
+def _sums(total: list | None) -> Iterator[pa.RecordBatch]:
     if total is not None:
-        yield record_batch(["n", "s", "c"], [pa.array([total[0]], pa.int64()), pa.array([total[1].tolist()], pa.list_(pa.float64())), pa.array([total[2].ravel().tolist()], pa.list_(pa.float64()))])
+        yield record_batch(["n", "s", "c"], [pa.array([total[0]], pa.int64()), *(pa.ListArray.from_arrays([0, len(x)], pa.array(x, pa.float64())) for x in total[1:])])
 
 
 def principal_axes(vectors: DataFrame, width: int) -> np.ndarray:
-    """Orthonormal axes (columns), most spread first, of all unit vectors; one width x width matrix comes from each task."""
+    """Orthonormal axes (columns), most spread first, of all unit vectors.
+
+    Tasks add up their vectors side by side, SUM_TASKS tasks add up what they give, and these SUM_TASKS width x width matrices come
+    to the driver one after another.
+    """
     n, s, c = 0, np.zeros(width), np.zeros((width, width))
-    for r in vectors.select("v").mapInArrow(_moments, "n long, s array<double>, c array<double>").toLocalIterator():
+    sums = vectors.select("v").mapInArrow(_moments, _SUMS).repartition(SUM_TASKS).mapInArrow(_added, _SUMS)
+    for r in sums.toLocalIterator():
         n, s, c = n + r["n"], s + np.array(r["s"]), c + np.array(r["c"]).reshape(width, width)
     if not n:
         return np.eye(width)
