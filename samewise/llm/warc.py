@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,12 @@ from samewise.llm.words import record_batch
 from samewise.session import shared_dir
 
 ROLL_BYTES = 64 << 20
+#: Payload bytes of a batch of records that were read.
+BATCH_BYTES = 8 << 20
+#: Most tasks that read files; beyond it a task reads several, one after another.
+FILE_TASKS = 1 << 16
+#: A payload of more than this share (one in so many) of all pages is frequent.
+FREQUENT = 100_000
 LEVEL = 4
 VERSION = b"WARC/1.1"
 # Fixed values of the format.
@@ -114,21 +121,31 @@ def write_files(folder: str, roll_bytes: int):
     return work
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, unpacked."""
-    at, step = 0, 1 << 14
-    while at < len(data):
-        unpack, parts = zlib.decompressobj(31), []
-        while not unpack.eof and at < len(data):  # in steps: what is left over is copied once a member
-            parts.append(unpack.decompress(data[at : at + step]))
-            at += step
-        at = min(at, len(data)) - len(unpack.unused_data)
-        yield b"".join(parts)
+def _steps(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    for at in range(0, len(data), step):
+        yield data[at : at + step]
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record in a file of gzip members or of plain records."""
-    for body in members(data) if data[:2] == b"\x1f\x8b" else [data]:
+def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The gzip members of a file that comes in chunks, unpacked."""
+    unpack, parts = zlib.decompressobj(31), []
+    for chunk in chunks:
+        while chunk:
+            parts.append(unpack.decompress(chunk))
+            chunk = unpack.unused_data
+            if unpack.eof:
+                yield b"".join(parts)
+                unpack, parts = zlib.decompressobj(31), []
+    if any(parts):
+        raise ValueError("a member is cut off")
+
+
+def records(data: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record in a file of gzip members, whole or in chunks, or of plain records."""
+    chunks = _steps(data) if isinstance(data, bytes) else iter(data)
+    first = next(chunks, b"")
+    chunks = itertools.chain([first], chunks)
+    for body in members(chunks) if first[:2] == b"\x1f\x8b" else [b"".join(chunks)]:
         at = 0
         while body.startswith(b"WARC/", at):
             end = body.index(b"\r\n\r\n", at)
@@ -138,33 +155,55 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at = end + 4 + n + 4
 
 
-def read_archives(df: DataFrame) -> DataFrame:
-    """Rows of binary files (path, content) as records: page_id, payload_bytes, payload_digest, record_type, refers_to and the response's payload.
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+
+def _checked(data: bytes | Iterator[bytes], payloads: bool) -> Iterator[pa.RecordBatch]:
+    """A file's records in batches of bounded size. Digests of responses are computed from what was read, and each block is held against its digest."""
+    rows, size = [], 0
+    for fields, block in records(data):
+        if fields["WARC-Type"] not in ("response", "revisit"):
+            continue
+        if fields["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
+            raise ValueError(f"block digest of {fields['WARC-Record-ID']} doesn't hold")
+        page = int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None
+        if fields["WARC-Type"] == "response":
+            payload = block[block.index(b"\r\n\r\n") + 4 :]
+            rows.append((page, len(payload), base32_sha1(payload), "response", None, payload if payloads else None))
+            size += len(payload) if payloads else 0
+        else:
+            rows.append((page, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", int(fields["X-Refers-To-Page"]), None))
+        if len(rows) >= 2000 or size > BATCH_BYTES:
+            yield _batch(rows)
+            rows, size = [], 0
+    yield _batch(rows)
 
-    Digests of responses are computed from what was read, and each block is held against its digest.
-    """
+
+def read_archives(df: DataFrame, payloads: bool = True) -> DataFrame:
+    """Rows of binary files (content) as records: page_id, payload_bytes, payload_digest, record_type, refers_to and the response's payload (null unless payloads)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for value in b["content"]:
-                rows = []
-                for fields, block in records(value.as_py()):
-                    if fields["WARC-Type"] not in ("response", "revisit"):
-                        continue
-                    if fields["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
-                        raise ValueError(f"block digest of {fields['WARC-Record-ID']} doesn't hold")
-                    page = int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None
-                    if fields["WARC-Type"] == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
-                        rows.append((page, len(payload), base32_sha1(payload), "response", None, payload))
-                    else:
-                        rows.append((page, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", int(fields["X-Refers-To-Page"]), None))
-                    if len(rows) >= 2000:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
-
-    return df.select("content").mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+                yield from _checked(value.as_py(), payloads)
+
+    return df.select("content").mapInArrow(work, RECORDS)
+
+
+def read_manifest(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Records of the files that a manifest names, as read_archives gives them: tasks open their files and read them in chunks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name in b["name"].to_pylist():
+                with store.open_input_stream(f"{path}/{name}", compression=None) as file:
+                    yield from _checked(iter(lambda: file.read(1 << 20), b""), payloads)
+
+    files = manifest.select("name").repartition(max(1, min(manifest.count(), FILE_TASKS)), "name")
+    return files.mapInArrow(work, RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -183,10 +222,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("key", F.sha1("payload"))
     named = rows.where("page_id is not null").where(F.octet_length("payload") >= least_bytes)
-    first = named.groupBy("key").agg(F.min(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    most = max(1000, pages.count() // FREQUENT)
+    first = named.groupBy("key").agg(F.min(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # the first pages of payloads of very many pages (FREQUENT at most) are broadcast, so that no task gets all pages of one
+    hot = F.broadcast(first.where(F.col("n") > most).select("key", F.col("first").alias("hot")))
     # payloads are shuffled once, by range; a note that a page is a revisit, without payload, stands before its page
     again = (F.col("page_id") > F.col("first.page_id")) | (F.coalesce("url", F.lit("")) > F.col("first.url"))
-    notes = named.drop("payload").distinct().join(first, "key").where(again).select("page_id", "url", "key", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    found = named.select("page_id", "url", "key").distinct().join(hot, "key", "left")
+    rest = found.where("hot is null").drop("hot").join(first.where(F.col("n") <= most).select("key", "first"), "key")
+    notes = rest.unionByName(found.where("hot is not null").withColumnRenamed("hot", "first")).where(again).select("page_id", "url", "key", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     ready = rows.select("page_id", "url", "key", F.lit(1).alias("kind"), "payload", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url")).unionByName(notes)
     sorted_rows = (ready.repartitionByRange(files, "page_id") if files else ready.repartitionByRange("page_id")).sortWithinPartitions("page_id", "url", "key", "kind")
     manifest = sorted_rows.mapInArrow(write_files(folder, roll_bytes), "name string, records long, bytes long")
@@ -194,14 +238,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     return spark.read.schema("name string, records long, bytes long").parquet(f"{folder}/_manifest"), folder
 
 
-def archived(manifest: DataFrame, folder: str) -> DataFrame:
-    """The files of a manifest as (path, content); only file names come to the driver, which lists files in any case."""
-    names = [f"{folder}/{r['name']}" for r in manifest.select("name").toLocalIterator()]
-    files = manifest.sparkSession.read.format("binaryFile")
-    return files.load(names).select("path", "content") if names else manifest.sparkSession.createDataFrame([], "path string, content binary")
-
-
 def warc_roundtrip(pages: DataFrame, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Writes pages to archives, reads the archives back and gives each record without its payload."""
+    """Writes pages to archives, reads the archives back and gives each record without its payload.
+
+    A row for each row of pages (page_id, url, html; further columns don't matter). A null html is an empty payload. Rows without page_id are
+    responses that none refers to; of rows with one page_id and one payload the first by url is the response. An empty table gives an empty
+    result. Records of any size are whole, in a file of their own if they are longer than roll_bytes.
+    """
     manifest, folder = write_archives(pages, roll_bytes=roll_bytes)
-    return read_archives(archived(manifest, folder)).drop("payload")
+    return read_manifest(manifest, folder, payloads=False).drop("payload")

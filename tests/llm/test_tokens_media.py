@@ -143,6 +143,24 @@ def test_archives_round_trip(spark):
     assert warc.warc_roundtrip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_frequent_payloads_and_clashing_columns(spark, monkeypatch):
+    pages = [(i, f"http://h/{i}", ["", "x", f"p{i}"][min(2, i % 4)]) for i in range(5000)]
+    df = spark.createDataFrame([(*p, "k", 1) for p in pages], "page_id long, url string, html string, key string, kind int")
+    rows = {r["page_id"]: r["refers_to"] for r in warc.warc_roundtrip(df).collect()}
+    assert rows == {i: (i % 4 if i % 4 < 2 and i > 3 else None) for i, _, _ in pages} | {0: None, 1: None}
+
+
+def test_long_records_are_read_in_chunks(spark, tmp_path):
+    rnd = random.Random(1)
+    html = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3 << 20))
+    df = spark.createDataFrame([(1, "u", html), (2, "v", "short")], "page_id long, url string, html string")
+    manifest, folder = warc.write_archives(df, f"file://{tmp_path}/w", roll_bytes=1000)
+    rows = {r["page_id"]: r["payload"] for r in warc.read_manifest(manifest, folder).collect()}
+    assert bytes(rows[1]).decode() == html and bytes(rows[2]) == b"short"
+    files = spark.read.format("binaryFile").load([f"{folder}/{r['name']}" for r in manifest.collect()])
+    assert {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(files).collect()} == {i: bytes(x) for i, x in rows.items()}
+
+
 def test_archives_are_deterministic_and_roll(spark, tmp_path):
     df = spark.createDataFrame(PAGES * 3, "page_id long, url string, html string")
     seen = []
