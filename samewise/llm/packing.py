@@ -4,7 +4,7 @@ Each document is tokenised once, in bounded blocks; only pieces (document, place
 decreasing needs no more than how many pieces there are of each length, at most `capacity` numbers: the driver plans
 with a segment tree over remaining capacities, where pieces of one length and bins of one remaining capacity move
 together, so the plan has a bounded size whatever the number of documents. It is the plan of the sequential algorithm.
-Pieces then find their bin by their rank among those of their length: rank within the block plus the number in earlier blocks.
+Pieces then find their bin by their rank among those of their length: rank within the task that cut them plus the number in earlier tasks.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words that a Python worker remembers.
 REMEMBERED = 700_000
+#: Tasks whose counts are added up by one window.
+RANGE = 1024
 
 
 class WordBpe:
@@ -112,11 +114,12 @@ class WordCache:
 
 
 def pieces(path: str, capacity: int = CAPACITY, end_id: int = END_ID, encoder: Callable[[str], Callable] = WordBpe):
-    """For mapInArrow over (doc_id, text): a row for each piece, with block and rank among the block's pieces of that length."""
+    """For mapInArrow over (doc_id, text): a row for each piece, with its task and rank among the task's pieces of that length."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, task = WordCache(encoder(path)), TaskContext.get().partitionId()
-        for block, table in enumerate(slices(batches, most_bytes=4 << 20)):
+        seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far
+        for table in slices(batches, most_bytes=4 << 20):
             flat, bounds = cache.ids(Words(table["text"]))
             rows: list[tuple] = []
             for doc, a, b in zip(table["doc_id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -129,8 +132,10 @@ def pieces(path: str, capacity: int = CAPACITY, end_id: int = END_ID, encoder: C
             first = np.searchsorted(length[order], length[order])
             rank = np.empty(len(rows), np.int64)
             rank[order] = np.arange(len(rows)) - first
-            yield record_batch(["block", "doc_id", "piece", "start", "length", "ids_crc32", "rank"], [
-                pa.array([(task << 32) + block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
+            rank += seen[length]
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield record_batch(["task", "doc_id", "piece", "start", "length", "ids_crc32", "rank"], [
+                pa.array([task] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                 *(pa.array([r[i] for r in rows], pa.int64()) for i in (2, 3, 4)), pa.array(rank, pa.int64()),
             ])
 
@@ -213,12 +218,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, encoder: Callable[[str], Callable] = WordBpe) -> DataFrame:
     """A row for each piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts have one piece, the end id alone. Repeated rows are packed each. Only texts of more than capacity ids are cut.
+    Null and empty texts have one piece, the end id alone. Repeated rows, and rows without doc_id, are packed each. Only texts of more than
+    capacity ids are cut. Further columns don't matter; an empty table gives an empty result.
     """
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces(path, capacity, end_id, encoder), "block long, doc_id long, piece int, start long, length long, ids_crc32 long, rank long")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces(path, capacity, end_id, encoder), "task long, doc_id long, piece int, start long, length long, ids_crc32 long, rank long")
     cut = written(cut, "packing-pieces")
-    in_block = cut.groupBy("block", "length").agg(F.count("*").alias("n"))
-    before = in_block.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    in_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
+    # a length has a row for each task, or, above, for each RANGE of them
+    ranges = in_task.groupBy(F.floor(F.col("task") / RANGE).alias("range"), "length").agg(F.sum("n").alias("n"))
+    earlier = lambda order, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "length").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lower = in_task.withColumn("range", F.floor(F.col("task") / RANGE)).withColumn("lower", earlier("task", "range")).drop("n")
+    before = lower.join(ranges.withColumn("upper", earlier("range")).drop("n"), ["range", "length"]).select("task", "length", (F.col("lower") + F.col("upper")).alias("before"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     steps = plan(counts, capacity)
     order = np.lexsort((steps[:, 1], steps[:, 0]))
@@ -233,5 +243,5 @@ def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
             r = rank - row[:, 1]
             yield record_batch(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], [b["doc_id"], b["piece"], b["start"], b["length"], b["ids_crc32"], row[:, 2] + r // row[:, 3], row[:, 4] + length * (r % row[:, 3])])
 
-    ranked = cut.join(before, ["block", "length"]).withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    ranked = cut.join(before, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

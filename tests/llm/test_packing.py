@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from samewise.llm import packing
 from samewise.llm.packing import OpenBins, WordBpe, WordCache, best_fit_packing, plan
 from samewise.llm.words import Words
 
@@ -63,9 +64,11 @@ def test_tightest_bin():
     assert bins.tightest(8) == 99
 
 
-def test_pieces_cover_documents(spark, tokenizer):
+@pytest.mark.parametrize("tasks_of_a_range", [1024, 2])
+def test_pieces_cover_documents(spark, tokenizer, monkeypatch, tasks_of_a_range):
+    monkeypatch.setattr(packing, "RANGE", tasks_of_a_range)
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3]), (None, "no id")]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, length string").repartition(4)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, length string").repartition(7)
     got = best_fit_packing(df, PATH).collect()
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
     for r in got:
