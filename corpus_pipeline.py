@@ -1,6 +1,8 @@
 """The corpus pipeline: documents through five operators of samewise.llm, each stage written and read again.
 
-Each stage is (name, function of (spark, docs, sf_dir)). All but the last return the columns of documents.
+Each stage is (name, function of (spark, docs, sf_dir)). All but the last return the columns of documents, whatever further columns docs
+has and whatever their names are: a stage's operator sees doc_id, text and one struct of all others.
+Null and empty texts, null ids, repeated rows and empty tables have a defined result in each stage; see there.
 """
 
 from __future__ import annotations
@@ -15,53 +17,79 @@ from samewise.session import drop_written, written
 CORPUS_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and rest, a struct of all other columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(True).alias("none")])).alias("rest"))
+
+
 def _as_before(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The columns of docs again."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below one half; the model is learnt from the labelled documents of the stage's input."""
+    """Documents with a toxicity score below one half; the model is learnt from the labelled documents of the stage's input.
+
+    Each row is judged by its text alone: repeated rows stay or go together, null and empty texts score alike, rows without
+    doc_id are judged but not learnt from. Where no labelled document is toxic, or all are, every text has the smoothed share of
+    toxic labels as its score. An empty table gives an empty result.
+    """
     from samewise.llm.toxicity import toxicity
 
-    scored = toxicity(docs.withColumnRenamed("score", "score_before"), toxicity_model(spark, docs, sf_dir))
-    return _as_before(scored.where("score < 0.5").drop("score").withColumnRenamed("score_before", "score"), docs)
+    return _as_before(toxicity(_packed(docs), toxicity_model(spark, docs.select("doc_id", "text"), sf_dir)).where("score < 0.5"), docs)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality scorer, trained on this stage's input, takes for good."""
+    """Documents that the quality scorer, trained on this stage's input, takes for good.
+
+    Each row is judged by its text alone; repeated rows stay or go together, and null texts are judged as empty ones, which are poor. An
+    empty table gives an empty result.
+    """
     from samewise.llm.quality import fit, quality
 
-    names = {c: f"{c}_before" for c in ("score", "label_posterior", "predicted") if c in docs.columns}
-    scored = quality(docs.withColumnsRenamed(names), fit(docs)).where("predicted = 1").drop("score", "label_posterior", "predicted")
-    return _as_before(scored.withColumnsRenamed({b: a for a, b in names.items()}), docs)
+    return _as_before(quality(_packed(docs), fit(docs.select("text"))).where("predicted = 1"), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class of near duplicates. Documents without doc_id stay."""
+    """One document of each class of near duplicates, that of least doc_id.
+
+    Rows of one doc_id but other texts are documents of their own. Of rows with equal doc_id and equal text one stays, the one whose columns
+    have the least hash. Texts without words, null texts and documents without doc_id are no duplicates; of the latter each row stays.
+    An empty table gives an empty result.
+    """
     from samewise.llm.minhash_dedup import near_duplicates
 
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))  # repeated rows of one document
-    first = docs.join(kept, "doc_id", "left_semi").withColumn("nth_of_document", F.row_number().over(order)).where("nth_of_document = 1")
+    texts = docs.select("doc_id", "text")
+    kept = near_duplicates(texts).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    rows = _packed(docs).withColumns({"id": F.col("doc_id").cast("long"), "hash": F.xxhash64("text"), "order": F.xxhash64("text", "rest")})
+    first = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("id", "hash").orderBy("order"))).where("nth = 1")
     return _as_before(first, docs).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document of smaller doc_id has; n_chars follows the text."""
+    """Documents without the passages of 13 words that a document of smaller doc_id has; n_chars follows the text.
+
+    Each row stays, if only with an empty text. Rows of one doc_id don't shorten one another, and a null doc_id counts as greater than all
+    others. A text that loses nothing stays as it is, null included, with its n_chars. An empty table gives an empty result.
+    """
     from samewise.llm.substring_dedup import substring_dedup
 
-    names = {c: f"{c}_before" for c in ("n_words", "n_removed") if c in docs.columns}
-    kept = substring_dedup(docs.withColumnsRenamed(names)).drop("n_words", "n_removed").withColumnsRenamed({b: a for a, b in names.items()})
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return _as_before(kept, docs)
+    kept = substring_dedup(_packed(docs))
+    shorter = kept.select("doc_id", "text", "rest", "n_removed")
+    out = shorter.select(*[F.col(c) if c in ("doc_id", "text") else (F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("rest.n_chars")).cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest").getField(c)).alias(c) for c in docs.columns])
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences: a row for each piece, of each row of docs.
+
+    Null and empty texts have one piece, the end id alone. An empty table gives an empty result.
+    """
     from samewise.llm.packing import best_fit_packing
 
-    return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return best_fit_packing(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -72,7 +100,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Learnt models, signatures and tokenizers can't be stated in SQL; tests/llm holds each stage against a plain version.
+#: Learnt models, signatures and tokenizers can't be stated in SQL; tests/llm holds each stage, and all of them, against plain versions.
 ORACLE_SQL = None
 
 

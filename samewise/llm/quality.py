@@ -194,13 +194,13 @@ def _examples(labels: LabelModel):
             ends = np.searchsorted(code // BUCKETS, np.arange(len(values) + 1))
             bucket = (code % BUCKETS).astype(np.int32)
             parts = list(zip(ends[:-1], ends[1:], strict=True))
-            yield record_batch(["p", "bucket", "value"], [labels.posterior(votes(values)), pa.array([bucket[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([total[a:b].astype(np.float32).tobytes() for a, b in parts], pa.binary())])
+            yield record_batch(["h", "p", "bucket", "value"], [table["h"].combine_chunks(), labels.posterior(votes(values)), pa.array([bucket[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([total[a:b].astype(np.float32).tobytes() for a, b in parts], pa.binary())])
 
     return work
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
-    """Label model over all documents; linear scorer over at most train_docs of them."""
+    """Label model over all documents (rows with a text column); linear scorer over at most train_docs different texts, taken in order of their hash."""
     texts = docs.select("text")
     counted = texts.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3 ** labellers rows
     total = sum(r["n"] for r in counted)
@@ -209,13 +209,13 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
     if not total:
         return QualityModel(labels, np.zeros(BUCKETS), 0.0)
     share = min(1.0, train_docs * 0.9 / total)
-    chosen = texts.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates(["h"]).select("text")
+    chosen = texts.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))).dropDuplicates(["h"]).select("text", "h")
     weights, squares, bias, rng = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8), 0.0, np.random.default_rng(5)
-    examples = chosen.mapInArrow(_examples(labels), "p double, bucket binary, value binary").toLocalIterator()
-    rows = [(r["p"], np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["value"], np.float32).astype(float)) for r in itertools.islice(examples, train_docs)]
+    examples = chosen.mapInArrow(_examples(labels), "h long, p double, bucket binary, value binary").toLocalIterator()
+    rows = sorted(((r["h"], r["p"], np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["value"], np.float32).astype(float)) for r in itertools.islice(examples, train_docs)), key=lambda r: r[0])
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            p, k, x = rows[i]
+            _, p, k, x = rows[i]
             z = float(weights[k] @ x) + bias
             g = 1 / (1 + np.exp(-max(-30.0, min(30.0, z)))) - p
             step = g * x
@@ -226,7 +226,11 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> QualityModel:
 
 
 def quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs (with text) and score, label_posterior (both 0 to 1, higher: better) and predicted (score of 0.5 or more). Null and empty texts get a score like others."""
+    """docs (with text; further columns stay, but columns of these names are replaced) and score, label_posterior (both 0 to 1, higher: better) and predicted (score of 0.5 or more).
+
+    A row for each row: equal texts have equal scores, null texts are scored as empty ones. An empty table gives an empty result, and a model
+    fitted on an empty table scores every text 0.5.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
