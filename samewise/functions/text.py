@@ -35,6 +35,10 @@ COMMON_SPELLINGS = (("kebap", "kebab"), ("kepab", "kebab"), ("kepap", "kebab"),
 LENGTHS = {"name": 76, "city": 38, "address": 99, "state": 33, "url": 129, "categories": 68}
 URL_PREFIXES = ("httpswww", "httpwww", "https", "http")
 EMPTY_PHONES = ("000000000", "999999999")
+# What names of terminals and stations leave out, in this order, each with and without an s.
+TERMINAL_SPELLINGS = (("airpord", "airport"), ("internasional", "international"), ("internacional", "international"))
+TERMINAL_WORDS = ("terminal", "airport", "arrival", "hall", "departure", "bus stop", "airways", "checkin")
+STATION_WORDS = ("stasiun", "station", "metro", "北改札", "bei gai zha", "stasiun")
 # Accents of Latin letters, and their plain letters.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
@@ -59,6 +63,17 @@ def normal(c: Column, spaces: bool = True) -> Column:
     return without(F.lower(plain(c)), SYMBOLS if spaces else " " + SYMBOLS)
 
 
+def terminal_name(c: Column) -> Column:
+    """An airport's name without numbers of terminals (0 to 29, spelt three ways) and without words that all airports have."""
+    numbers = [(f"{word}{i}", "") for i in range(30) for word in ("terminal ", "terminal", "t")]
+    words = [(w + s, "") for w in TERMINAL_WORDS for s in ("s", "")]
+    return F.trim(replaced(c, [*numbers, *TERMINAL_SPELLINGS, *words]))
+
+
+def station_name(c: Column) -> Column:
+    return F.trim(replaced(c, [(w + s, "") for w in STATION_WORDS for s in ("s", "")]))
+
+
 def city_letters(c: Column) -> Column:
     return without(c, " 0123456789")
 

@@ -27,6 +27,25 @@ def cluster_iou(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return both.join(sized.select("cluster", "truth", "iou"), ["cluster", "truth"]).select("id", "iou")
 
 
+def mean_iou(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row, iou: the mean over all ids of truth."""
+    return cluster_iou(predicted, truth).agg(F.avg("iou").alias("iou"))
+
+
+def iou_by_threshold(scored: DataFrame, truth: DataFrame, thresholds: Sequence[float] = (0.4, 0.45, 0.5, 0.55, 0.6, 0.65), tie: float = 0.8) -> DataFrame:
+    """(threshold, iou) of sweep clusters at each threshold; threshold 0 takes the true pairs (y = 1) alone, which is the most that these pairs can reach."""
+    from samewise.operators.cluster import sweep_clusters
+
+    pairs = scored.select("id_1", "id_2", "score")
+    true_pairs = scored.where("y = 1").select("id_1", "id_2", F.lit(1.0).alias("score"))
+    found = [mean_iou(sweep_clusters(true_pairs, 0.0, tie), truth).withColumn("threshold", F.lit(0.0))]
+    found += [mean_iou(sweep_clusters(pairs, t, tie), truth).withColumn("threshold", F.lit(float(t))) for t in thresholds]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("threshold", "iou")
+
+
 def threshold_table(scored: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """For each threshold: pairs above it, matches among them, and shares of both."""
     table = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")

@@ -2,52 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from samewise.session import drop_written, written
 
+#: Edges that a task holds at once.
+TASK_EDGES = 4 << 20
+
 
-#: An id with more edges than this (and than its share, see _with_least) is a hub.
-HUB = 512
-#: Most hubs, whatever the number of edges.
-HUBS = 100_000
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the edges, in order, and the least id that each reaches."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while len(x):
+        a, b = label[x], label[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # roots hang below lesser ones
+        while (label[label] != label).any():
+            label = label[label]
+    return ids, ids[label]
 
 
-def _with_least(edges: DataFrame, n: int) -> DataFrame:
-    """edges (u, v) with m, the least of u and its v's. n is at least the number of edges.
+def _stars(batches: Iterator[pa.RecordBatch], keyed: bool) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a task as stars (u, v, own): each id with the least one it reaches by them. Edges come in bounded lots, or, if keyed, together.
 
-    The minima of hubs are broadcast, so that no task gets all edges of one; hubs have more than n / HUBS edges each, so they are
-    HUBS at most. All others meet their minimum by a join.
+    own: all edges of u as first end were there, which is so for first ends of a keyed task.
     """
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    most = max(HUB, n // HUBS)
-    hubs = F.broadcast(least.where(F.col("n") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))
-    known = edges.join(hubs, F.col("u") == F.col("hub"), "left")
-    rest = known.where("hub is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
-    return rest.select("u", "v", "m").unionByName(known.where("hub is not null").select("u", "v", F.col("hub_m").alias("m")))
+    held, n, kind = [], 0, None
+
+    def stars() -> pa.RecordBatch:
+        u, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        ids, least = least_reached(u, v)
+        own = np.zeros(len(ids), bool)
+        if keyed:
+            own[np.searchsorted(ids, u)] = True
+        use = ids != least
+        return pa.RecordBatch.from_arrays([pa.array(ids[use], kind), pa.array(least[use], kind), pa.array(own[use])], names=["u", "v", "own"])
+
+    for b in batches:
+        if b.num_rows:
+            kind = b["u"].type
+            held.append([b[c].to_numpy(zero_copy_only=False) for c in ("u", "v")])
+            n += b.num_rows
+            if n >= TASK_EDGES and not keyed:
+                yield stars()
+                held, n = [], 0
+    if held:
+        yield stars()
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(id, component) of each id that has an edge; component is the smallest id that it reaches.
 
-    Alternating large and small stars: each round points every id to the least of its neighbours, so long chains shrink
-    to stars in a logarithmic number of rounds. Neighbourhood minima come from partial aggregates; see _with_least for
-    ids with very many edges. Each round is written to the shared folder. Edges of an id with itself, and repeated edges, don't matter.
+    Tasks turn the edges they hold into stars, so whatever the number of edges of an id, a task passes at most one of them on as
+    its first end. Each round lets ids point where their target points, deals the edges by their first end and makes stars again, until
+    nothing moves: every id then points to an id that points nowhere, the least of its component. Each round is written to the
+    shared folder. Edges of an id with itself or with null, and repeated edges, don't matter.
     """
     both = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    now = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen, n = None, now.count()
-    while True:
-        mirrored = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(mirrored, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        pair = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
-        small = _with_least(large, 2 * n).select(F.explode(pair).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        then = written(small, "edges")
-        state = then.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    schema = StructType([*both.schema.fields, StructField("own", BooleanType())])
+    now = written(both.mapInArrow(lambda batches: _stars(batches, False), schema), "edges")
+    state, seen = _state(now), None
+    while state != seen:
+        first = now.select("u", "v")
+        onward = now.where("own").select(F.col("u").alias("v"), F.col("v").alias("to"))  # one row for an id
+        moved = first.join(onward, "v", "left").select("u", F.coalesce("to", "v").alias("v")).where("u <> v")
+        parts = -(-state[0] // TASK_EDGES)
+        dealt = moved.repartition(parts, "u") if parts > int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) else moved.repartition("u")
+        then = written(dealt.mapInArrow(lambda batches: _stars(batches, True), schema), "edges")
+        seen, state = state, _state(then)
         drop_written(now)
-        now, n = then, state["n"]
-        if state == seen:
-            break
-        seen = state
-    return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        now = then
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """The number of edges and a sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v", "own").cast("decimal(38,0)"))).first())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
 
@@ -57,6 +57,51 @@ def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def half(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Half of the rows at random, the same ones each time: those of an even hash of key and seed."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2)) == 0)
+
+
+def with_last(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns moved to the end, in the given order."""
+    return df.select(*[c for c in df.columns if c not in columns], *columns)
+
+
+def numbered(df: DataFrame, name: str = "row_number") -> DataFrame:
+    """Adds numbers that rise in the order in which rows are read; in_order() brings rows back to it."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def in_order(df: DataFrame, name: str = "row_number") -> DataFrame:
+    return df.orderBy(name).drop(name)
+
+
+def rounded(df: DataFrame, places: Mapping[str, int]) -> DataFrame:
+    """Numbers to so many places, halves to the even neighbour."""
+    return df.withColumns({c: F.bround(c, n) for c, n in places.items()})
+
+
+def literal_list(c: Column) -> Column:
+    """Text such as ['a', 'b c'] as an array of texts; empty for other text."""
+    items = F.regexp_extract_all(c, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
+    return F.when(c.rlike(r"^\s*\[.*\]\s*$"), F.transform(items, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(F.array().cast("array<string>"))
+
+
+def write_matrix(df: DataFrame, key: str, vector: str, path: str) -> None:
+    """A dense matrix as Parquet rows of (key, array of floats)."""
+    df.select(key, F.col(vector).cast("array<float>").alias(vector)).write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> dict[str, object]:
+    """A small dictionary in one JSON object, for parameters such as synonyms; larger ones are tables."""
+    row = spark.read.json(path, multiLine=True).first()
+    return {} if row is None else row.asDict(recursive=True)
+
+
 def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name, lang, source): documents with the first 76 characters as name."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(76)).alias("name"), "lang", "source")

@@ -33,14 +33,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_components_of_hubs(spark, monkeypatch):
+def test_components_of_hubs_and_chains(spark, monkeypatch):
     from samewise.operators import graph
 
-    monkeypatch.setattr(graph, "HUB", 4)
+    monkeypatch.setattr(graph, "TASK_EDGES", 50)  # so that tasks see few edges at once
     rnd = random.Random(6)
     edges = [(h, rnd.randint(0, 900)) for h in (450, 3, 899) for _ in range(60)] + [(rnd.randint(0, 900), rnd.randint(0, 900)) for _ in range(200)] + [(950, i) for i in range(951, 990)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    chain = list(range(2000, 2600))
+    rnd.shuffle(chain)
+    edges += list(zip(chain, chain[1:])) + [(i, i + 1) for i in range(3000, 3300)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert got == {k: v for k, v in union_find(edges).items() if any(a != b and k in (a, b) for a, b in edges)}
+    named = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges[:120]] + [(None, "n1")], "a string, b string")
+    got = {r["id"]: r["component"] for r in components(named).collect()}
+    assert got == {k: v for k, v in union_find([(f"n{a}", f"n{b}") for a, b in edges[:120]]).items() if any(a != b and k in (f"n{a}", f"n{b}") for a, b in edges[:120])}
 
 
 def test_canonical_is_idempotent(spark):
@@ -87,6 +93,56 @@ def test_greedy_growth_and_merging():
     assert cluster.merge(pairs, dict(grown), 0.6, 5) == grown
 
 
+def test_merging_by_all_scores():
+    grown = {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7}
+    pairs = [(1, 3, 0.95), (3, 5, 0.7), (4, 6, 0.6), (5, 7, 0.85), (1, 7, 0.2), (2, 8, 0.3)]
+    # 3 to 1 by one score, 5 to where 3 went by a mean of two, 7 by neither
+    assert cluster.merge_by_scores(pairs, dict(grown), 0.9, 0.6, 300) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7, 8: 7}
+    assert cluster.merge_by_scores(pairs, dict(grown), 0.9, 0.6, 4) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7}
+    alone = cluster.without_outliers([(1, 2, 0.9), (2, 3, 0.2), (1, 3, 0.2), (4, 5, 0.1)], {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}, 0.25)
+    assert alone == {1: 1, 2: 1, 3: ("alone", 3), 4: 4, 5: 4}
+
+
+def test_sweeps_move_single_ids_to_the_older_cluster():
+    # 4 is touched first by 3, so 5 joins it though it is the first of its pair
+    assert cluster.sweep([(3, 4, 0.9), (5, 4, 0.9), (1, 2, 0.5)], 0.8) == {3: 0, 4: 0, 5: 0, 1: 1, 2: 1}
+    assert cluster.sweep([(1, 2, 0.95), (3, 4, 0.9), (2, 4, 0.85)], 0.8) == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert cluster.sweep([(1, 2, 0.95), (3, 4, 0.5), (2, 4, 0.85)], 0.8) == {1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_clustering_end_to_end_matches_one_task(spark):
+    rnd = random.Random(18)
+    pairs = [(a, b, round(rnd.random(), 6)) for a in range(70) for b in range(a + 1, 70) if rnd.random() < 0.05]
+    truth = [(i, i // 3) for i in range(75)]
+    df, known = spark.createDataFrame(pairs, "id_1 long, id_2 long, score double"), spark.createDataFrame(truth, "id long, truth long")
+    ordered = sorted(pairs, key=lambda p: (-p[2], p[0], p[1]))
+
+    def least(clusters):
+        return {x: min(y for y in clusters if clusters[y] == clusters[x]) for x in clusters}
+
+    def iou(clusters):
+        total = 0
+        for i, t in truth:
+            mine = {x for x in clusters if i in clusters and clusters[x] == clusters[i]} or {i}
+            own = {j for j, u in truth if u == t}
+            total += len(mine & own) / len(mine | own)
+        return total / len(truth)
+
+    for mean_above, below in ((0.0, None), (0.6, None), (0.6, 0.4)):
+        whole = cluster.grow([p for p in ordered if p[2] > 0.45], 0.6, 0.7)
+        whole = cluster.merge_by_scores(ordered, whole, 0.9, mean_above, 12) if mean_above else cluster.merge([p for p in ordered if p[2] > 0.45], whole, 0.9, 12)
+        if below:
+            whole = cluster.without_outliers(ordered, whole, below)
+        found = cluster.improved_clusters(df, 0.45, 0.6, 0.7, 0.9, mean_above, 12, below)
+        assert {r["id"]: r["cluster"] for r in found.collect()} == least(whole)
+        assert abs(evaluate.mean_iou(found, known).first()["iou"] - iou(whole)) < 1e-12
+    labelled = df.withColumn("y", (F.floor(F.col("id_1") / 3) == F.floor(F.col("id_2") / 3)).cast("int"))
+    got = {r["threshold"]: r["iou"] for r in evaluate.iou_by_threshold(labelled, known, (0.45, 0.6)).collect()}
+    want = {t: iou(cluster.sweep([p for p in ordered if p[2] > t], 0.8)) for t in (0.45, 0.6)}
+    want[0.0] = iou(cluster.sweep([(a, b, 1.0) for a, b, _ in sorted(pairs) if a // 3 == b // 3], 0.8))
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-12 for t in want)
+
+
 def test_cluster_functions_split_by_component(spark):
     rnd = random.Random(8)
     pairs = [(a, b, rnd.random()) for a in range(40) for b in range(a + 1, 40) if rnd.random() < 0.08]
@@ -133,6 +189,40 @@ def test_files_and_types(spark, tmp_path):
     assert read_json(spark, str(tmp_path / "j.json"), "a array<long>").first()["a"] == [1, 2]
 
 
+def test_small_table_operators(spark, tmp_path):
+    from samewise.sources import tables
+
+    df = spark.createDataFrame([(i, 0.125 + i / 4, "['a', \"b c\", 'd']") for i in range(40)], "id long, v double, l string")
+    assert [r["v"] for r in tables.rounded(df, {"v": 2}).orderBy("id").limit(2).collect()] == [0.12, 0.38]
+    assert df.select(tables.literal_list(F.col("l")).alias("x"), tables.literal_list(F.lit("oops")).alias("y")).first() == (["a", "b c", "d"], [])
+    assert tables.with_last(df, ["id"]).columns == ["v", "l", "id"]
+    a, b = ({r["id"] for r in tables.half(df, "id", s).collect()} for s in (0, 0))
+    assert a == b and 8 < len(a) < 32 and a != {r["id"] for r in tables.half(df, "id", 1).collect()}
+    back = tables.in_order(tables.numbered(df).repartition(5, "v"))
+    assert [r["id"] for r in back.collect()] == list(range(40)) and back.columns == df.columns
+    tables.write_matrix(df.withColumn("m", F.array("v", "v")), "id", "m", f"{tmp_path}/m")
+    assert tables.read_matrix(spark, f"{tmp_path}/m").orderBy("id").first()["m"] == [0.125, 0.125]
+    (tmp_path / "d.json").write_text('{"bar": ["pub", "inn"],\n "café": "cafe"}')
+    assert tables.read_dictionary(spark, str(tmp_path / "d.json")) == {"bar": ["pub", "inn"], "café": "cafe"}
+
+
+def test_midpoints_at_strips(spark):
+    """Places are counted up to a tenth of a degree beyond the midpoint's whole degree, on either side and below zero."""
+    from samewise.operators import targeted
+
+    rnd = random.Random(4)
+    at = [(i, rnd.uniform(-0.06, 0.06), rnd.choice([-1.02, -0.98, -0.1, -0.01, 0.0, 0.01, 0.09, 0.11, 0.99, 1.0, 1.05, 1.2]) + rnd.uniform(-0.005, 0.005), i % 3) for i in range(120)]
+    df = spark.createDataFrame(at, "id long, latitude double, longitude double, kind int")
+    pairs = [(i, i + 1) for i in range(0, 118)]
+    for kind in (None, "kind"):
+        got = {(r[0], r[1]): tuple(r)[2:] for r in targeted.midpoint_counts(spark.createDataFrame(pairs, "id_1 long, id_2 long"), df, kind).collect()}
+        for a, b in pairs:
+            y, x = (at[a][1] + at[b][1]) / 2, (at[a][2] + at[b][2]) / 2
+            strip = math.floor(x)
+            d = [(p[1] - y) ** 2 + math.cos(y) ** 2 * (p[2] - x) ** 2 for p in at if strip - 0.1 < p[2] < strip + 1.1 and (kind is None or p[3] in (at[a][3], at[b][3]))]
+            assert got[a, b] == tuple(sum(v < r * r / 111111**2 for v in d) for r in targeted.RADII)
+
+
 def test_cleaning_stream(spark, tmp_path):
     from samewise.streaming.cleaning import clean_stream, cleaned
 
