@@ -231,25 +231,6 @@ def encode(raw: bytes) -> bytes:
     return tag + first + frames.tobytes()
 
 
-def parse_uniform(data: bytes) -> Stream | None:
-    """The same as parse() for files whose frames all have the header and size of the first, tested together; None for others."""
-    begin, end, tags = parse_tags(data)
-    first = parse_header(data, begin)
-    if first is None or first.layer != 3 or not first.protected or (end - begin) % first.size:
-        return None
-    rows = np.frombuffer(data, np.uint8)[begin:end].reshape(-1, first.size)
-    if not (rows[:, :4] == rows[0, :4]).all():
-        return None
-    out = Stream(tags=tags, table=parse_table(data, first))
-    covered, which = np.unique(rows[:, 6 : first.body], axis=0, return_inverse=True)
-    crc = np.array([crc16(bytes(rows[0, 2:4]) + c.tobytes()) for c in covered])[which.reshape(-1)]
-    out.checked = len(rows)
-    out.broken = int((crc != rows[:, 4].astype(int) * 256 + rows[:, 5]).sum())
-    f = first
-    out.frames = [Frame(begin + i * f.size, f.size, f.version, f.layer, f.bitrate, f.rate, f.samples, f.mono, f.protected) for i in range(len(rows))]
-    return out
-
-
 def payload_of(data: bytes, stream: Stream) -> bytes:
     """The bytes that encode() stored."""
     frames = stream.audio
@@ -289,7 +270,7 @@ def features(media: DataFrame) -> DataFrame:
             rows = []
             for value in b["media"]:
                 data = value.as_py() or b""
-                stream = parse_uniform(data) or parse(data)
+                stream = parse(data)
                 payload = payload_of(data, stream)
                 n = stream.tags.get("n_bytes", "")
                 rows.append((int(n) if n.isdigit() else len(payload), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), describe(stream), stream.seconds, np.array(stream.offsets, "<i8").tobytes()))
@@ -302,6 +283,7 @@ def features(media: DataFrame) -> DataFrame:
 def audio_roundtrip(docs: DataFrame) -> DataFrame:
     """Stores the texts of docs (doc_id, text) as MPEG audio in a table in the shared folder, reads it back and gives its features.
 
-    A row for each row; repeated rows, null ids and further columns are fine; null and empty texts are one unit of padding.
+    A row for each row; repeated rows, null ids and further columns are fine, equal texts have equal values; null and empty texts are one
+    unit of padding. Texts of any length are one file each. An empty table gives an empty result.
     """
     return features(written(stored(docs), "media"))

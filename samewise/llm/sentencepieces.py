@@ -307,7 +307,9 @@ class Encoder:
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, round_trip, ids) of docs (doc_id, text): ids as little-endian unsigned 32-bit numbers.
 
-    Null and empty texts have no ids. round_trip: decoding the ids gives the text's bytes again.
+    round_trip: decoding the ids gives the text's bytes again. A row for each row of docs, by its text alone: repeated rows and rows
+    without doc_id are encoded like others, null and empty texts have no ids, further columns don't matter, and an empty table gives
+    an empty result.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
