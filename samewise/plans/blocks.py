@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.functions import geo, similarity, text
-from samewise.operators import blocking, tfidf
+from samewise.operators import blocking, neighbours, tfidf
 from samewise.plans.registry import query
 from samewise.sources.tables import customers, named_documents, parts, suppliers, table
 
@@ -77,23 +77,13 @@ def circular_shift_rules(spark: SparkSession, d: str) -> DataFrame:
     return blocking.shifted_pairs(customers(spark, d).withColumnRenamed("segment", "category").withColumn("q90", F.lit(100.0)).withColumn("q99", F.lit(1000.0)))
 
 
-@query(
-    """WITH d AS (SELECT doc_id AS id, left(text, 12) AS name, right(regexp_replace(left(text, 2000), '[^0-9]', '', 'g'), 10) AS phone, CASE WHEN coalesce(left(text, 20), '') = '' THEN '' ELSE left(text, 20) || '-' || lang END AS address FROM documents),
-    b AS (SELECT id, name AS v, 'n' AS k, 25 AS most FROM d UNION ALL SELECT id, phone, 'p', 10 FROM d UNION ALL SELECT id, address, 'a', 10 FROM d), r AS (SELECT k, v FROM b WHERE v <> '' GROUP BY k, v, most HAVING count(*) > 1 AND count(*) <= most)
-    SELECT DISTINCT x.id AS id_1, y.id AS id_2 FROM b x JOIN r USING (k, v) JOIN b y USING (k, v) WHERE x.id < y.id"""
-)
-def bucket_pairs_capped(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(12)).alias("name"), F.right(F.regexp_replace(F.left("text", F.lit(2000)), "[^0-9]", ""), F.lit(10)).alias("phone"), text.address_key(F.left("text", F.lit(20)), F.col("lang")).alias("address"))
-    return blocking.bucket_pairs(rows, "id", {"name": 25, "phone": 10, "address": 10})
-
-
 @query(
     """WITH d AS (SELECT doc_id AS id, text AS name, right(regexp_replace(text, '[^0-9]', '', 'g'), 10) AS phone, CASE WHEN coalesce(text, '') = '' THEN '' ELSE text || '-' || lang END AS address FROM documents),
     b AS (SELECT id, name AS v, 'n' AS k, 25 AS most FROM d UNION ALL SELECT id, phone, 'p', 10 FROM d UNION ALL SELECT id, address, 'a', 10 FROM d), r AS (SELECT k, v FROM b WHERE v <> '' GROUP BY k, v, most HAVING count(*) > 1 AND count(*) <= most)
     SELECT DISTINCT x.id AS id_1, y.id AS id_2 FROM b x JOIN r USING (k, v) JOIN b y USING (k, v) WHERE x.id < y.id"""
 )
 def bucket_pairs_capped_whole(spark: SparkSession, d: str) -> DataFrame:
-    """bucket_pairs_capped with whole texts as keys, and the last digits of whole texts."""
+    """Pairs by whole texts, by the last digits of whole texts, and by text and language."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.right(F.regexp_replace(F.col("text"), "[^0-9]", ""), F.lit(10)).alias("phone"), text.address_key(F.col("text"), F.col("lang")).alias("address"))
     return blocking.bucket_pairs(rows, "id", {"name": 25, "phone": 10, "address": 10})
 
@@ -110,18 +100,6 @@ def pair_canonicalise(spark: SparkSession, d: str) -> DataFrame:
     return blocking.not_in(blocking.canonical(by_name.unionByName(by_size)), by_id)
 
 
-@query(
-    """WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(left(text, 300)), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS term FROM documents), c AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term),
-    df AS (SELECT term, count(*) AS df FROM c GROUP BY term), w AS (SELECT id, term, df, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM c JOIN df USING (term)),
-    n AS (SELECT id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w)
-    SELECT a.id AS id_1, b.id AS id_2, round(sum(a.w * b.w), 5) AS sim FROM n a JOIN n b ON a.term = b.term AND a.id < b.id WHERE a.df <= 50 AND b.df <= 50 GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.45"""
-)
-def tfidf_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(300)).alias("name"))
-    weighted = tfidf.weights(docs, "id", tfidf.words(F.col("name")), most_documents=50)
-    return tfidf.neighbours(weighted, "id", 0.45).withColumn("sim", F.round("sim", 5))
-
-
 @query(
     """WITH t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS term FROM documents), c AS (SELECT id, term, count(*) AS tf FROM t GROUP BY id, term),
     df AS (SELECT term, count(*) AS df FROM c GROUP BY term), w AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM c JOIN df USING (term)),
@@ -129,7 +107,7 @@ def tfidf_neighbours(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.id AS id_1, b.id AS id_2, round(sum(a.w * b.w), 5) AS sim FROM n a JOIN n b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.45"""
 )
 def tfidf_neighbours_whole(spark: SparkSession, d: str) -> DataFrame:
-    """tfidf_neighbours over whole texts and all terms."""
+    """Alike texts by all their terms."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
     weighted = tfidf.weights(docs, "id", tfidf.words(F.col("name")))
     return tfidf.whole_neighbours(weighted, "id", 0.45).withColumn("sim", F.round("sim", 5))
@@ -153,27 +131,13 @@ def radius_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT a.vec_id AS id_1, b.vec_id AS id_2, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
+    """WITH p AS (SELECT a.vec_id AS id_1, b.vec_id AS id_2, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY id_1 ORDER BY sim DESC, id_2) AS nth FROM p) SELECT id_1, id_2, sim, nth FROM r WHERE nth <= 10"""
 )
 def embedding_knn(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    unit = table(spark, d, "embeddings").withColumn("e", F.expr("transform(embedding, x -> double(x))")).withColumn("e", F.expr("transform(e, x -> x / sqrt(aggregate(e, double(0), (s, y) -> s + y * y)))"))
-    asked = unit.where(F.col("vec_id") % 50 == 0).select("label", F.col("vec_id").alias("id_1"), F.col("e").alias("e1"))
-    pairs = asked.join(unit.select("label", F.col("vec_id").alias("id_2"), F.col("e").alias("e2")), "label").where("id_1 <> id_2")
-    sim = pairs.select("id_1", "id_2", F.round(F.expr("aggregate(zip_with(e1, e2, (x, y) -> x * y), double(0), (s, v) -> s + v)"), 6).alias("sim"))
-    return sim.withColumn("nth", F.row_number().over(Window.partitionBy("id_1").orderBy(F.desc("sim"), "id_2"))).where("nth <= 10")
-
-
-@query(
-    """WITH d AS (SELECT doc_id AS id, lang, source, right(regexp_replace(left(text, 3000), '[^0-9]', '', 'g'), 10) AS phone FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY phone, source, id) AS rn FROM d WHERE phone <> '')
-    SELECT a.id AS id_1, b.id AS id_2 FROM r a JOIN r b ON a.lang = b.lang AND b.rn BETWEEN a.rn + 1 AND a.rn + 10 WHERE left(a.phone, 7) = left(b.phone, 7) AND length(a.phone) >= 7"""
-)
-def sorted_neighbour_digits(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.right(F.regexp_replace(F.left("text", F.lit(3000)), "[^0-9]", ""), F.lit(10)).alias("phone")).where("phone <> ''")
-    pairs = blocking.sorted_neighbours(rows, "id", ["lang"], ["phone", "source", "id"], 10, ["phone"])
-    return pairs.where(similarity.same_beginning(F.col("phone_1"), F.col("phone_2"), 7) == 1).select("id_1", "id_2")
+    """The ten nearest of all vectors for each vector whose id is divisible by 50."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return neighbours.nearest_vectors(vectors, "id % 50 = 0", 10)
 
 
 @query(
@@ -181,7 +145,7 @@ def sorted_neighbour_digits(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.id AS id_1, b.id AS id_2 FROM r a JOIN r b ON a.lang = b.lang AND b.rn BETWEEN a.rn + 1 AND a.rn + 10 WHERE left(a.phone, 7) = left(b.phone, 7) AND length(a.phone) >= 7"""
 )
 def sorted_neighbour_digits_whole(spark: SparkSession, d: str) -> DataFrame:
-    """sorted_neighbour_digits by the last digits of whole texts."""
+    """Neighbours by the last ten digits of whole texts that begin alike."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", F.right(F.regexp_replace(F.col("text"), "[^0-9]", ""), F.lit(10)).alias("phone")).where("phone <> ''")
     pairs = blocking.sorted_neighbours(rows, "id", ["lang"], ["phone", "source", "id"], 10, ["phone"])
     return pairs.where(similarity.same_beginning(F.col("phone_1"), F.col("phone_2"), 7) == 1).select("id_1", "id_2")

@@ -169,21 +169,6 @@ def word_by_word_translation(spark: SparkSession, d: str) -> DataFrame:
     return named_documents(spark, d).select("id", text.word_translation(F.col("name"), DICTIONARY).alias("translated"), F.array_join(text.tokens(F.col("name")), "|").alias("tokens"))
 
 
-@query(
-    """WITH d AS (SELECT doc_id AS id, list_sort(list_filter(string_split(left(text, 400), ' '), lambda w: regexp_matches(w, '^[0-9]+$'))) AS nums, coalesce(try_cast(left(regexp_replace(left(text, 400), '[^0-9]', '', 'g'), 9) AS INT), 0) AS num, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
-    p AS (SELECT a.id AS id_1, b.id AS id_2, a.num AS num_1, a.nums AS x, b.nums AS y, len(list_filter(a.nums, lambda n: list_contains(b.nums, n))) AS c FROM d a JOIN d b ON a.lang = b.lang AND b.rn = a.rn + 1)
-    SELECT id_1, id_2, num_1, 2 * c - len(x) - len(y) AS nb_in_name, round(CASE WHEN len(x) + len(y) - c > 0 THEN (2 * c - len(x) - len(y)) / (len(x) + len(y) - c) ELSE 0 END, 6) AS ratio_in_name,
-    CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0 WHEN len(x) = 0 OR len(y) = 0 THEN -1 WHEN x = y THEN 3 WHEN list_has_all(y, x) OR list_has_all(x, y) THEN 2 WHEN list_has_any(x, y) THEN 1 ELSE -2 END AS num_in_name FROM p"""
-)
-def number_tokens_agreement(spark: SparkSession, d: str) -> DataFrame:
-    from samewise.operators.blocking import sorted_neighbours
-    from samewise.operators.features import number_features
-
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.left("text", F.lit(400)).alias("name"))
-    pairs = sorted_neighbours(docs, "id", ["lang"], ["id"], 1, ["name"])
-    return pairs.select("id_1", "id_2", text.digits_number(F.col("name_1")).alias("num_1"), *number_features("name"))
-
-
 @query(
     """WITH d AS (SELECT doc_id AS id, list_sort(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[0-9]+$'))) AS nums, coalesce(try_cast(left(regexp_replace(text, '[^0-9]', '', 'g'), 9) AS INT), 0) AS num, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
     p AS (SELECT a.id AS id_1, b.id AS id_2, a.num AS num_1, a.nums AS x, b.nums AS y, len(list_filter(a.nums, lambda n: list_contains(b.nums, n))) AS c FROM d a JOIN d b ON a.lang = b.lang AND b.rn = a.rn + 1)
