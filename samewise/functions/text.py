@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -39,9 +40,28 @@ EMPTY_PHONES = ("000000000", "999999999")
 TERMINAL_SPELLINGS = (("airpord", "airport"), ("internasional", "international"), ("internacional", "international"))
 TERMINAL_WORDS = ("terminal", "airport", "arrival", "hall", "departure", "bus stop", "airways", "checkin")
 STATION_WORDS = ("stasiun", "station", "metro", "北改札", "bei gai zha", "stasiun")
-# Accents of Latin letters, and their plain letters.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+# What places are called otherwise.
+STATE_SPELLINGS = (("calif", "ca"), ("jakartacapitalregion", "jakarta"), ("moscow", "moskva"), ("seoulteugbyeolsi", "seoul"))
+CATEGORY_SPELLINGS = (("aiport", "airport"), ("terminal", "airport"))
+# Letters without an accent to lose, and how they are written in Latin letters.
+ONE_LETTER = dict(zip("øłđðħıабвгдезийклмнопрстуфыэіґъьαβγδεζηικλμνξοπρσςτυω", "olddhiabvgdeziiklmnoprstufyeig''abgdezeiklmnxoprsstuo"))
+MORE_LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io", "ї": "yi", "є": "ie", "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps"}
+
+
+def _letters() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters and their one plain letter, with accents on their own (no letter) last; and letters of two or more plain ones."""
+    one = dict(ONE_LETTER) | {a.upper(): b.upper() for a, b in ONE_LETTER.items() if a not in "ıς"}
+    more = dict(MORE_LETTERS) | {a.upper(): b.upper() if a in "æœ" else b.capitalize() for a, b in MORE_LETTERS.items() if a != "ß"}
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000)]:
+        letter = chr(code)
+        base = unicodedata.normalize("NFD", letter)[0]
+        if letter not in one and letter not in more and base != letter and (base.isascii() or base in one):
+            one[letter] = one.get(base, base)
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(one) + marks, "".join(one.values()), list(more.items())
+
+
+ACCENTED, PLAIN, LONG_LETTERS = _letters()
 
 
 def replaced(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
@@ -54,8 +74,8 @@ def without(c: Column, characters: str) -> Column:
 
 
 def plain(c: Column) -> Column:
-    """Latin letters without accents."""
-    return F.translate(c, ACCENTED, PLAIN)
+    """Latin letters without accents, Greek and Cyrillic in Latin letters; other scripts stay as they are."""
+    return replaced(F.translate(c, ACCENTED, PLAIN), LONG_LETTERS)
 
 
 def normal(c: Column, spaces: bool = True) -> Column:
@@ -140,6 +160,41 @@ def phone(c: Column) -> Column:
     return F.when(digits.isin(*EMPTY_PHONES), "").otherwise(digits)
 
 
+def mapped(c: Column, *passes: Mapping[str, str]) -> Column:
+    """Whole texts replaced by each pass's entries in order; later entries and passes see the answers of earlier ones."""
+    entries = [e for one in passes for e in one.items()]
+    table = {}
+    for i, (key, to) in enumerate(entries):
+        for other, then in entries[i + 1 :]:
+            to = then if to == other else to
+        table.setdefault(key, to)
+    if not table:
+        return c
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[c], c)
+
+
+def _named(c: Column) -> Column:
+    return F.when(c == "nan", "").otherwise(c)
+
+
+def city(c: Column, *passes: Mapping[str, str]) -> Column:
+    """Mapped in passes, cut, without "gorod"; "nan" is empty."""
+    return _named(F.replace(F.left(mapped(c, *passes), F.lit(LENGTHS["city"])), F.lit("gorod"), F.lit("")))
+
+
+def state(c: Column) -> Column:
+    return _named(mapped(F.left(c, F.lit(LENGTHS["state"])), dict(STATE_SPELLINGS)))
+
+
+def short_street(c: Column) -> Column:
+    """An address, cut, with "str" for "street"; "nan" is empty."""
+    return F.replace(F.left(_named(c), F.lit(LENGTHS["address"])), F.lit("street"), F.lit("str"))
+
+
+def categories(c: Column) -> Column:
+    return replaced(_named(F.left(c, F.lit(LENGTHS["categories"]))), CATEGORY_SPELLINGS)
+
+
 def url(c: Column) -> Column:
     """Normal text without spaces and protocol, cut."""
     c = normal(c, spaces=False)

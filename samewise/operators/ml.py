@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -22,10 +22,11 @@ def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
 
 
-def out_of_fold(df: DataFrame, features: Sequence[str], label: str, folds: str, k: int, trees: int = 20, depth: int = 4) -> tuple[DataFrame, list[GBTClassificationModel]]:
+def out_of_fold(df: DataFrame, features: Sequence[str], label: str, folds: str, k: int, trees: int = 20, depth: int = 4, step: float = 0.1, stop_early: bool = False) -> tuple[DataFrame, list[GBTClassificationModel]]:
     """df with score: each row's from the model that did not see its fold. Also the models.
 
-    A fold whose training rows have one label only scores with that label's share.
+    A fold whose training rows have one label only scores with that label's share. With stop_early the next fold's rows are not
+    learnt from but watched: no more trees are added once their error no longer falls.
     """
     rows = assembled(df, features)
     out, models = [], []
@@ -35,7 +36,14 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, folds: str,
         if len(seen) < 2:
             out.append(rest.withColumn("score", F.lit(float(next(iter(seen), 0)))))
             continue
-        model = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, seed=42 + i).fit(train)
+        learner = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, seed=42 + i)
+        if stop_early:
+            watched = F.col(folds) == (i + 1) % k
+            both = {bool(r["w"]) for r in train.where(watched.isNotNull()).groupBy(watched.alias("w")).agg(F.count_distinct(label).alias("n")).where("n > 1").collect()}
+            if both == {True, False}:  # otherwise nothing can be learnt or watched
+                train = train.withColumn("_watched", watched)
+                learner.setParams(validationIndicatorCol="_watched", validationTol=0.0)
+        model = learner.fit(train)
         models.append(model)
         out.append(model.transform(rest).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction"))
     return reduce(DataFrame.unionByName, out).drop("features"), models
@@ -49,6 +57,25 @@ def ensemble(df: DataFrame, features: Sequence[str], models: Sequence[GBTClassif
     return rows.withColumn("score", sum((F.col(f"_s{i}") for i in range(len(models))), F.lit(0.0)) / max(1, len(models))).drop("features", *[f"_s{i}" for i in range(len(models))])
 
 
+def save_models(models: Sequence[GBTClassificationModel], path: str) -> None:
+    """Models in folders of their places under a path that all executors reach."""
+    for i, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/{i}")
+
+
+def load_models(path: str, n: int) -> list[GBTClassificationModel]:
+    """The first n models that save_models() wrote."""
+    return [GBTClassificationModel.load(f"{path}/{i}") for i in range(n)]
+
+
+def search(df: DataFrame, features: Sequence[str], label: str, folds: str, k: int, settings: Sequence[Mapping[str, float]]) -> list[tuple[dict[str, float], float]]:
+    """Settings of out_of_fold() (trees, depth, step) with the area under the curve of their out-of-fold scores, best first; ties in the given order."""
+    from samewise.operators.evaluate import roc_auc
+
+    areas = [roc_auc(out_of_fold(df, features, label, folds, k, **s)[0], label=label).first()["auc"] for s in settings]
+    return sorted(((dict(s), a if a is not None else 0.0) for s, a in zip(settings, areas)), key=lambda x: -x[1])
+
+
 def importance(models: Sequence[GBTClassificationModel], features: Sequence[str]) -> list[tuple[str, float]]:
     """Mean importance of each feature over the folds' models."""
     return [(f, float(sum(m.featureImportances[i] for m in models)) / max(1, len(models))) for i, f in enumerate(features)]

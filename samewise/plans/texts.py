@@ -17,6 +17,7 @@ SPELLINGS = {"small ": "little ", "large ": "big ", "hot ": "warm "}
 ALIASES = {"red plate": "plate", "red ring": "ring", "blue ring": "ring", "small widget": "widget"}
 WORD_TRANSLATIONS = {"the": "north", "of": "building", "and": "street"}
 DICTIONARY = {"la": "the", "de": "of", "und": "and", "der": "the", "que": "that"}
+CITY_PASSES = ({"unitedstates": "us", "us": "usa", "china": "cn", "algeria": "dz"}, {"usa": "america", "dz": "algeria"})
 BRANDS = ("7/11#a", "my 7-11 x", "7-eleven", "sea world", "mc donalds x", "mcd house", "best kepab", "aloonaloon", "x internationalairport", "a™b®c", "restoram")
 
 NAME = "SELECT doc_id AS id, left(text, 76) AS name FROM documents"
@@ -24,7 +25,7 @@ X = "SELECT doc_id AS id, left(text, 76) AS x FROM documents"
 
 
 def sql_plain(e: str) -> str:
-    return f"translate({e}, '{text.ACCENTED}', '{text.PLAIN}')"
+    return sql_replaced(f"translate({e}, {quoted(text.ACCENTED)}, {quoted(text.PLAIN)})", text.LONG_LETTERS)
 
 
 def sql_normal(e: str, spaces: bool = True) -> str:
@@ -128,6 +129,32 @@ def synonym_map(spark: SparkSession, d: str) -> DataFrame:
     return found.join(nations, F.col("size") % 25 == F.col("n_nationkey")).select("id", text.replaced(F.col("name"), SPELLINGS.items()).alias("spelled"), F.coalesce("canonical", "name").alias("canonical"), "region_name")
 
 
+_STATES = [a for a, _ in text.STATE_SPELLINGS] + ["ca", "nan"]
+_CITY = "x"
+for _pass in CITY_PASSES:
+    for _a, _b in _pass.items():
+        _CITY = f"replace(replace('|' || {_CITY} || '|', '|{_a}|', '|{_b}|'), '|', '')"
+
+
+@query(
+    f"""SELECT id, CASE WHEN city = 'nan' THEN '' ELSE city END AS city, CASE state {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in text.STATE_SPELLINGS)} WHEN 'nan' THEN '' ELSE left(state, 33) END AS state,
+    CASE WHEN id % 9 = 0 THEN '' ELSE replace(left(street, 99), 'street', 'str') END AS address, CASE WHEN id % 8 = 0 THEN '' ELSE replace(replace(left(labels, 68), 'aiport', 'airport'), 'terminal', 'airport') END AS categories
+    FROM (SELECT id, replace(left({_CITY}, 38), 'gorod', '') AS city, {_STATES}[1 + id % {len(_STATES)}] AS state, repeat('street ' || x || ' ', CAST(1 + id % 12 AS BIGINT)) AS street, repeat('aiport, ' || x || ' terminal, ', CAST(1 + id % 5 AS BIGINT)) AS labels
+      FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'nan' WHEN c_custkey % 7 = 1 THEN 'gorod' ELSE '' END || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE lower(replace(n_name, ' ', '')) END AS x FROM customer JOIN nation ON n_nationkey = c_nationkey))"""
+)
+def place_fixes(spark: SparkSession, d: str) -> DataFrame:
+    """Cities mapped in two passes, states, addresses and categories with their fixes and lengths."""
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    i = F.col("c_custkey")
+    bare = F.lower(F.replace("n_name", F.lit(" "), F.lit("")))
+    rows = rows.select(i.alias("id"), F.when(i % 7 == 0, "nan").when(i % 7 == 1, F.concat(F.lit("gorod"), bare)).otherwise(bare).alias("x"))
+    i, x = F.col("id"), F.col("x")
+    names = F.array(*[F.lit(s) for s in _STATES])
+    street = F.when(i % 9 == 0, "nan").otherwise(F.repeat(F.concat(F.lit("street "), x, F.lit(" ")), (1 + i % 12).cast("int")))
+    labels = F.when(i % 8 == 0, "nan").otherwise(F.repeat(F.concat(F.lit("aiport, "), x, F.lit(" terminal, ")), (1 + i % 5).cast("int")))
+    return rows.select("id", text.city(x, *CITY_PASSES).alias("city"), text.state(F.get(names, (i % len(_STATES)).cast("int"))).alias("state"), text.short_street(street).alias("address"), text.categories(labels).alias("categories"))
+
+
 BRAND_ROWS = ", ".join(f"({-i - 1}, {quoted(b)})" for i, b in enumerate(BRANDS))
 SEVEN = sql_replaced("x", [(s + a, "seven eleven" + b) for s in text.SEVEN_ELEVEN for a, b in (("#", " "), (" ", " "), ("", ""))])
 

@@ -90,3 +90,16 @@ def test_native_substring_matches_kernel(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     got = [r[0] for r in df.select(sim.common_substring(F.col("a"), F.col("b"))).collect()]
     assert got == [sim.longest_substring(a, b) for a, b in rows]
+
+
+def test_letters_of_other_alphabets(spark):
+    pairs = [("Straße Łódź", "Strasse Lodz"), ("Ångström Œuvre æ", "Angstrom OEuvre ae"), ("Москва Щука", "Moskva Shchuka"), ("Αθήνα φως", "Athena phos"), ("e\u0301a", "ea"), ("東京", "東京"), ("", ""), (None, None)]
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "i int, x string")
+    assert [r[0] for r in rows.orderBy("i").select(text.plain(F.col("x"))).collect()] == [b for _, b in pairs]
+
+
+def test_mapped_in_passes(spark):
+    rows = spark.createDataFrame([(x,) for x in ("a", "b", "c", "z", None)], "x string")
+    passes = ({"a": "b", "b": "c"}, {"c": "a"})
+    assert [r[0] for r in rows.select(text.mapped(F.col("x"), *passes)).collect()] == ["a", "a", "a", "z", None]
+    assert [r[0] for r in rows.select(text.mapped(F.col("x"))).collect()] == ["a", "b", "c", "z", None]

@@ -296,3 +296,18 @@ def test_auc_of_many_scores(spark, tmp_path):
     p = int(pdf["y"].sum())
     want = (ranks[pdf["y"] == 1].sum() - p * (p + 1) / 2) / (p * (n - p))
     assert all(abs(evaluate.roc_auc(df).first()[0] - want) < 1e-12 for _ in range(2))
+
+
+def test_models_saved_searched_and_stopped_early(spark, tmp_path):
+    from samewise.operators import ml
+
+    rows = spark.createDataFrame([(i, float(i % 10), float(i % 7), int(i % 10 > 4), i // 10 % 3) for i in range(240)], "id long, a double, b double, y int, fold int")
+    scored, models = ml.out_of_fold(rows, ["a", "b"], "y", "fold", 3, trees=3, depth=2)
+    ml.save_models(models, f"file://{tmp_path}/models")
+    again = ml.load_models(f"file://{tmp_path}/models", len(models))
+    first, second = ({r["id"]: r["score"] for r in ml.ensemble(rows, ["a", "b"], m).collect()} for m in (models, again))
+    assert first == second and len(first) == 240
+    found = ml.search(rows, ["a", "b"], "y", "fold", 3, [{"trees": 1, "depth": 1}, {"trees": 2, "depth": 2}])
+    assert [a for _, a in found] == sorted((a for _, a in found), reverse=True) and found[0][1] > 0.99
+    stopped, short = ml.out_of_fold(rows, ["a", "b"], "y", "fold", 3, trees=12, depth=2, stop_early=True)
+    assert stopped.count() == 240 and all(m.getNumTrees <= 12 for m in short)
