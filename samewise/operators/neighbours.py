@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,14 +46,17 @@ def _best(k: int):
 def nearest_vectors(vectors: DataFrame, asked: str, k: int) -> DataFrame:
     """(id_1, id_2, sim, nth): for each vector (id, embedding) of the condition `asked` the k others of greatest cosine, to six places; ties by id.
 
-    Blocks of asked vectors meet blocks of all vectors; a block passes the k best of each asked vector on, so what is shuffled is k rows for
+    Blocks of asked vectors meet blocks of all vectors, dealt over a square of cells; a block passes the k best of each asked vector on, so what is shuffled is k rows for
     each asked vector and block.
     """
     blocks = "ids binary, x binary, width int"
     one = vectors.where(asked).mapInArrow(_unit_blocks, blocks).select(F.col("ids").alias("ids_1"), F.col("x").alias("x_1"), "width")
     two = vectors.mapInArrow(_unit_blocks, blocks).select(F.col("ids").alias("ids_2"), F.col("x").alias("x_2"), "width")
-    # one row for a pair of blocks
-    met = one.join(two, "width").repartition(vectors.sparkSession.sparkContext.defaultParallelism * 2, F.xxhash64("ids_1", "ids_2"))
+    # a square of cells: each block goes to one row or column of cells, so that no cell holds all blocks of either side
+    side = max(1, math.isqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism))
+    own, every = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    one, two = one.withColumn("row", own("ids_1")).withColumn("column", every), two.withColumn("column", own("ids_2")).withColumn("row", every)
+    met = one.join(two, ["row", "column", "width"]).drop("row", "column")
     best = met.mapInArrow(_best(k), "id_1 long, id_2 long, sim double").withColumn("sim", F.round("sim", 6))
     order = Window.partitionBy("id_1").orderBy(F.desc("sim"), "id_2")
     return best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
