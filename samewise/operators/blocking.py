@@ -114,7 +114,7 @@ def shifted_pairs(df: DataFrame) -> DataFrame:
     from samewise.functions import geo
 
     values = ["name", "category", "latitude", "longitude"]
-    df = df.withColumns({"name": F.coalesce("name", F.lit("")), "lat0": F.round("latitude"), "lon0": F.round("longitude"), "lat2": F.round("latitude", 2), "lon2": F.round("longitude", 2)})
+    df = df.withColumns({"name": F.coalesce("name", F.lit("")), "lat0": F.bround("latitude"), "lon0": F.bround("longitude"), "lat2": F.bround("latitude", 2), "lon2": F.bround("longitude", 2)})
     near = ["lat0", "lon0", "name", "latitude", "category", "country", "id"]
     total = df.count()
     found = []
