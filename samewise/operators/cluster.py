@@ -190,12 +190,17 @@ def mergeable(between: DataFrame, most_above: float = 0.9, mean_above: float = 0
 
 
 def outliers(scored: DataFrame, clusters: DataFrame, below: float = 0.25) -> DataFrame:
-    """(id, cluster, mean, outlier): members of clusters of three or more whose mean score within it is low."""
+    """(id, cluster, mean, outlier): members of clusters of three or more whose mean score within it is low.
+
+    Scores are added up as decimals, so a mean at the limit is not below it, in whatever order they come; those from 10^10 on and NaN as doubles.
+    """
     a = clusters.select(F.col("id").alias("id_1"), F.col("cluster").alias("c1"))
     b = clusters.select(F.col("id").alias("id_2"), F.col("cluster").alias("c2"))
     inside = scored.join(a, "id_1").join(b, "id_2").where("c1 = c2")
     sides = inside.select(F.explode(F.array("id_1", "id_2")).alias("id"), F.col("c1").alias("cluster"), "score")
-    means = sides.groupBy("cluster", "id").agg(F.avg("score").alias("mean"))
+    exact = F.col("score").cast("double").try_cast("decimal(28,18)")
+    total = F.when(F.count(exact) == F.count("score"), F.sum(exact).cast("double")).otherwise(F.sum(F.col("score").cast("double")))
+    means = sides.groupBy("cluster", "id").agg((total / F.count("score")).alias("mean"))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     return means.join(size, "cluster").select("id", "cluster", "mean", ((F.col("n") > 2) & (F.col("mean") < below)).alias("outlier"))
 

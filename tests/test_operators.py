@@ -103,6 +103,18 @@ def test_merging_by_all_scores():
     assert alone == {1: 1, 2: 1, 3: ("alone", 3), 4: 4, 5: 4}
 
 
+def test_a_mean_at_the_limit_is_not_below_it(spark):
+    scores = [0.06, 0.29, 0.57, 0.08]
+    clusters = spark.createDataFrame([(i, "a") for i in range(5)], "id long, cluster string")
+    for order in (scores, scores[::-1]):  # as doubles they add up to less than 1 in any order
+        df = spark.createDataFrame([(0, i, s) for i, s in enumerate(order, 1)], "id_1 long, id_2 long, score double")
+        got = {r["id"]: (r["mean"], r["outlier"]) for r in cluster.outliers(df, clusters, 0.25).collect()}
+        assert got[0] == (0.25, False) and got[1 + order.index(min(scores))] == (min(scores), True)
+    far = spark.createDataFrame([(0, 1, 1e30), (0, 2, 3e30), (3, 4, None), (3, 1, 0.5)], "id_1 long, id_2 long, score double")
+    got = {r["id"]: r["mean"] for r in cluster.outliers(far, clusters).collect()}
+    assert got[0] == 2e30 and got[3] == 0.5 and got[4] is None
+
+
 def test_sweeps_move_single_ids_to_the_older_cluster():
     # 4 is touched first by 3, so 5 joins it though it is the first of its pair
     assert cluster.sweep([(3, 4, 0.9), (5, 4, 0.9), (1, 2, 0.5)], 0.8) == {3: 0, 4: 0, 5: 0, 1: 1, 2: 1}
