@@ -370,8 +370,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     lead = drawn.join(nodes.select(F.col("lead.row").alias("row")), "row", "left_semi").select(F.col("node").alias("id"), "size", "bands", "coarse")
     keyed = lead.select("id", "bands").mapInArrow(band_rows(bands), "key long, id long")
     members = blocked(keyed.withColumn("size", F.lit(0)), BLOCK).join(lead.select("id", "coarse"), "id")
-    ties = in_parts(members.select("key", "salt", "id", "coarse")).mapInArrow(likely_forest, "a long, b long")
-    groups = written(components(ties).join(lead.select("id", "size"), "id"), "groups")
+    ties = in_parts(members.select("key", "salt", "id", "coarse"))
+    groups = written(components(ties, made=likely_forest).join(lead.select("id", "size"), "id"), "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     whole = groups.join(sizes.where(F.col("n") <= GROUP), "component").select(F.col("component").alias("key"), "id", "size")
     large = groups.join(sizes.where(F.col("n") > GROUP), "component").select("id", "size")
@@ -380,8 +380,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     wanted = nodes.join(groups.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("node").alias("id"), "lead.doc_id", "lead.text_hash")
     sets = small.join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("id", "text").mapInArrow(shingle_blobs(words, weighted), "id long, shingles binary")
     parts = in_parts(met.join(sets.dropDuplicates(["id"]), "id").select("key", "salt", "block", "id", "shingles"))
-    links = parts.mapInArrow(exact_forest(similarity), "a long, b long")
-    found = components(links)
+    found = components(parts, made=exact_forest(similarity))
     classes = nodes.join(found, nodes["node"] == found["id"], "left").select("node", "lead", F.coalesce("component", "node").alias("class"))
     least = classes.groupBy("class").agg(F.min("lead").alias("first"))
     told = written(classes.join(least, "class").select("node", "first"), "classes")

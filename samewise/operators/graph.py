@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from samewise.session import drop_written, written
 
@@ -59,17 +59,30 @@ def _stars(batches: Iterator[pa.RecordBatch], keyed: bool) -> Iterator[pa.Record
         yield stars()
 
 
-def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+def components(edges: DataFrame, left: str = "a", right: str = "b", made: Callable | None = None) -> DataFrame:
     """(id, component) of each id that has an edge; component is the smallest id that it reaches.
 
     Tasks turn the edges they hold into stars, so whatever the number of edges of an id, a task passes at most one of them on as
     its first end. Each round lets ids point where their target points, deals the edges by their first end and makes stars again, until
     nothing moves: every id then points to an id that points nowhere, the least of its component. Each round is written to the
     shared folder. Edges of an id with itself or with null, and repeated edges, don't matter.
+
+    With made, edges are rows that it, a function for mapInArrow, turns into batches of edges of longs between different ids: it runs in the same
+    Python workers as the stars, where a mapInArrow of its own would have each task hold a second one.
     """
-    both = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    schema = StructType([*both.schema.fields, StructField("own", BooleanType())])
-    now = written(both.mapInArrow(lambda batches: _stars(batches, False), schema), "edges")
+    if made is None:
+        both = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
+        ends = both.schema.fields
+    else:
+        both, ends = edges, [StructField("u", LongType()), StructField("v", LongType())]
+    schema = StructType([*ends, StructField("own", BooleanType())])
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if made is not None:
+            batches = (pa.RecordBatch.from_arrays([b[left], b[right]], names=["u", "v"]) for b in made(batches))
+        return _stars(batches, False)
+
+    now = written(both.mapInArrow(begun, schema), "edges")
     state, seen = _state(now), None
     while state != seen:
         first = now.select("u", "v")

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -221,3 +222,24 @@ def test_embeddings_match_brute_force(spark):
         assert got[i] == (n[i], want[i], want[i] == i)
     assert all(got[1000 + i] == (0, 1000 + i, True) for i in range(8)) and got[None][0] == 0
     assert embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_tasks_hold_one_python_worker(spark, monkeypatch):
+    from samewise import session
+    from samewise.operators import graph
+
+    plans = []
+
+    def seen(df, *more, **named):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return session.written(df, *more, **named)
+
+    for module in (graph, minhash_dedup):
+        monkeypatch.setattr(module, "written", seen)
+    texts = [(i, " ".join(f"w{(i % 9) * 50 + j}" for j in range(40)) + f" end{i % 2}") for i in range(40)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: i % 9 for i in range(40)}
+    assert any("MapInArrow" in p for p in plans)
+    for plan in plans:  # two functions without an exchange between them are two workers of a task
+        for stage in re.split(r"Exchange|Scan |Join", plan):
+            assert stage.count("MapInArrow") <= 1, stage
