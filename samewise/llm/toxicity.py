@@ -208,13 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     if not n1 or not n0:
         drop_written(train)
         return ToxicityModel(Tokens(*seen, -OFFSET), Calibration(1.0, 0.0, (base, 0.0, 0.0)))
-    counted = train.mapInArrow(_counts, "kind int, slot long, begin long, n1 long, n0 long").groupBy("kind", "slot").agg(F.min("begin").alias("begin"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toPandas()  # slots at most
-    words, starts = counted[counted["kind"] == 0], counted[counted["kind"] == 1]
+    counted = train.mapInArrow(_counts, "kind int, slot long, begin long, n1 long, n0 long").groupBy("kind", "slot").agg(F.min("begin").alias("begin"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    table = counted.select(F.col("kind").cast("byte"), *[F.col(c).cast("int") for c in ("slot", "begin", "n1", "n0")]).toArrow()  # slots at most, of 17 bytes
+    words, starts = ({c: table[c].to_numpy()[at] for c in ("slot", "begin", "n1", "n0")} for at in (table["kind"].to_numpy() == k for k in (0, 1)))
+    del table
     prior = np.full(START_SLOTS, share)
     prior[starts["slot"]] = (starts["n1"] + PRIOR * share) / (starts["n1"] + starts["n0"] + PRIOR)
     word_share = (words["n1"] + PRIOR * prior[words["begin"]]) / (words["n1"] + words["n0"] + PRIOR)
-    for scores, slot, p in zip(seen, (words["slot"], starts["slot"]), (word_share.to_numpy(), prior[starts["slot"]]), strict=True):
+    for scores, slot, p in zip(seen, (words["slot"], starts["slot"]), (word_share, prior[starts["slot"]]), strict=True):
         scores[slot] = np.log(p / (1 - p)) - base - OFFSET
+    del words, starts, prior, word_share, p, slot
     tokens = Tokens(*seen, -OFFSET)
     held = docs.sparkSession.sparkContext.broadcast(tokens)  # WORD_SLOTS + START_SLOTS numbers
 

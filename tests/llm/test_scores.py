@@ -225,3 +225,16 @@ def test_quality_end_to_end(spark):
     assert np.mean([got[i] == y for i, _, y in rows]) > 0.97
     empty = df.where("false")
     assert q.quality(empty, q.fit(empty)).count() == 0
+
+
+def test_the_counts_that_toxicity_brings_to_the_driver_are_narrow(spark, monkeypatch):
+    rows = toxic_corpus(200)
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string")
+    width = {"tinyint": 1, "int": 4, "bigint": 8}
+    seen, kind = [], type(docs)
+    for name in ("toPandas", "toArrow"):
+        real = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, real=real: seen.append(dict(self.dtypes)) or real(self))
+    t.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    counts = [x for x in seen if "slot" in x]
+    assert len(counts) == 1 and sum(width[x] for x in counts[0].values()) <= 17
