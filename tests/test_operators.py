@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from samewise.operators import blocking, cluster, evaluate, tfidf
@@ -323,3 +324,35 @@ def test_models_saved_searched_and_stopped_early(spark, tmp_path):
     assert [a for _, a in found] == sorted((a for _, a in found), reverse=True) and found[0][1] > 0.99
     stopped, short = ml.out_of_fold(rows, ["a", "b"], "y", "fold", 3, trees=12, depth=2, stop_early=True)
     assert stopped.count() == 240 and all(m.getNumTrees <= 12 for m in short)
+
+
+def test_alike_texts_by_blocks_match_the_join_of_terms(spark, monkeypatch):
+    rnd = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i * 7 % 200, " ".join(rnd.choice(words[: rnd.choice([4, 20, 60])]) for _ in range(rnd.randint(0, 9)))) for i in range(200)] + [(500, None), (501, ""), (502, " ".join(words))]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    terms = tfidf.words(F.col("t"))
+    want = {(r["id_1"], r["id_2"]): round(r["sim"], 9) for r in tfidf.neighbours(tfidf.weights(df, "id", terms), "id", 0.45).collect()}
+    assert len(want) > 100
+    names = {w: (-1) ** i * (i + 1) * 10**15 for i, w in enumerate(words)}
+    lists = [None if t is None else [names[w] for w in t.split()] for _, t in rows]
+    task = type("Task", (), {"get": staticmethod(lambda: type("Now", (), {"partitionId": lambda self: 3})())})
+    for block, entries, common, slab, some in ((2048, 1 << 22, 0.06, 512, 1 << 20), (7, 1 << 22, 0.06, 2, 30), (50, 40, 2.0, 512, 1), (16, 1 << 22, 0.0, 3, 9)):
+        with monkeypatch.context() as set_to:
+            for name, value in (("BLOCK", block), ("ENTRIES", entries), ("COMMON", common), ("SLAB", slab), ("PRODUCTS", some), ("GIVEN", some), ("TaskContext", task)):
+                set_to.setattr(tfidf, name, value)
+            parts = [pa.RecordBatch.from_pydict({"id": [r[0] for r in rows[i:j]], "t": [r[1] for r in rows[i:j]], "terms": pa.array(lists[i:j], pa.list_(pa.int64()))}) for i, j in ((0, 30), (30, 130), (130, len(rows)))]
+            made = list(tfidf._blocks(iter(parts)))
+            told = [dict(zip(b["hash"].to_pylist(), b["n"].to_pylist())) for m in made for b in tfidf._vocabularies(iter([m]))]
+            total = {h: sum(t.get(h, 0) for t in told) for h in names.values()}
+            made = [m.append_column("df", pa.array([b"".join(total[int.from_bytes(v[k : k + 8], "little", signed=True)].to_bytes(8, "little") for k in range(0, len(v), 8)) for v in m["vocab"].to_pylist()])) for m in made]
+            pairs = [pa.RecordBatch.from_arrays([*x.columns, *y.columns], names=[f"{c}_{i}" for i in (1, 2) for c in x.schema.names]) for n, x in enumerate(made) for y in made[n:] if len(x["vocab"][0].as_py()) and len(y["vocab"][0].as_py())]
+            got = [r for b in tfidf._alike(len(rows), 0.45, ["t"])(iter(pairs)) for r in b.to_pylist()]
+            assert len(got) == len(want) and {(r["id_1"], r["id_2"]): round(r["sim"], 9) for r in got} == want
+    found = tfidf.alike(df, "id", terms, 0.45, ["t"])
+    text = dict(rows)
+    got = {(r["id_1"], r["id_2"]): r for r in found.collect()}
+    assert {k: round(r["sim"], 9) for k, r in got.items()} == want
+    assert all((r["t_1"], r["t_2"]) == (text[a], text[b]) for (a, b), r in got.items())
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()  # no pair is shuffled
+    assert tfidf.alike(df.where("false"), "id", terms, 0.45).count() == 0
