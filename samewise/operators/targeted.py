@@ -25,13 +25,13 @@ def km(i: int = 1, j: int = 2) -> Column:
     return geo.haversine_km(*[F.col(f"{c}_{k}").cast("double") for k in (i, j) for c in ("latitude", "longitude")])
 
 
-def like_names(entities: DataFrame, name: Column, threshold: float = SAME_NAME, least: int = 1) -> DataFrame:
-    """(id_1, id_2, sim) of names of so many characters whose word vectors are alike.
+def like_names(entities: DataFrame, name: Column, threshold: float = SAME_NAME, least: int = 1, values: Sequence[str] = ()) -> DataFrame:
+    """(id_1, id_2, sim) of names of so many characters whose word vectors are alike, and both sides' values as <name>_1, <name>_2.
 
     (A rule "at the threshold, or the best of a row" keeps the same pairs, as each row's best is itself, at 1.)
     """
-    named = entities.select("id", name.alias("_name")).where(F.length("_name") >= least)
-    return tfidf.whole_neighbours(tfidf.weights(named, "id", tfidf.words(F.col("_name"))), "id", threshold)
+    named = entities.select("id", name.alias("_name"), *values).where(F.length("_name") >= least)
+    return tfidf.alike(named, "id", tfidf.words(F.col("_name")), threshold, values)
 
 
 def _with_sides(pairs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def _same_category() -> Column:
 def airports(entities: DataFrame, everywhere: str = "kualalumpur") -> DataFrame:
     """Alike names of airports, airfields and unknown places, one of them an airport, within 100 km (or any distance for one city)."""
     rows = entities.where(F.col("category").isin(AIRPORT, AIRFIELD, UNKNOWN))
-    pairs = _with_sides(like_names(rows, text.terminal_name(F.col("name")), least=2).select("id_1", "id_2"), rows)
+    pairs = like_names(rows, text.terminal_name(F.col("name")), least=2, values=["name", "category", "latitude", "longitude"])
     airport = (F.col("category_1") == AIRPORT) | (F.col("category_2") == AIRPORT)
     return pairs.where(airport & ((km() <= 100) | F.contains("name_1", F.lit(everywhere)))).select("id_1", "id_2")
 
