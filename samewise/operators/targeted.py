@@ -65,7 +65,7 @@ def in_country(entities: DataFrame, tiers: Mapping[int, tuple[float, float, floa
     found = []
     for country, (least, far, far_other) in tiers.items():
         rows = entities.where(F.col("country") == country)
-        pairs = _with_sides(like_names(rows, F.col(name), min(SAME_NAME, least)), rows).withColumn("km", km())
+        pairs = like_names(rows, F.col(name), min(SAME_NAME, least), values=["category", "latitude", "longitude"]).withColumn("km", km())
         same = _same_category()
         found.append(pairs.where((F.col("km") <= far) & (same | (F.col("km") <= far_other)) & (same | (F.round("sim", 5) >= least))).select("id_1", "id_2"))
     out = found[0]

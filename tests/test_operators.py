@@ -358,11 +358,11 @@ def test_alike_texts_by_blocks_match_the_join_of_terms(spark, monkeypatch):
     assert tfidf.alike(df.where("false"), "id", terms, 0.45).count() == 0
 
 
-def test_alike_names_of_airports_shuffle_no_pairs(spark):
+def test_alike_names_of_airports_and_countries_shuffle_no_pairs(spark):
     from samewise.operators import targeted
 
     rows = [(i, f"{('north', 'south', 'old')[i % 3]} field {i % 5}x", i % 4, (2, 3, 32)[i % 3], 1.0 + i / 100, 2.0) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, name string, category int, country int, latitude double, longitude double")
-    for found in (targeted.airports(df),):
+    for found in (targeted.airports(df), targeted.in_country(df)):
         assert found.count() == found.distinct().count() > 0
         assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
