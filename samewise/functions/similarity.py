@@ -36,6 +36,13 @@ def common_substring(x: Column, y: Column) -> Column:
     return F.when((F.length(x) > 0) & (F.length(y) > 0), F.array_max(lengths)).otherwise(0)
 
 
+def may_share(x: Column, y: Column, n: Column) -> Column:
+    """Whether texts can have a common substring of n > 0 characters: y must hold one of the consecutive parts of x of (n + 1) / 2, as n characters cover one."""
+    part = F.floor((n + 1) / 2).cast("int")
+    held = F.exists(F.sequence(F.lit(0), F.floor(F.length(x) / part).cast("int") - 1), lambda i: F.contains(y, F.substring(x, i * part + 1, part)))
+    return F.when((n > 0) & (F.length(x) >= n) & (F.length(y) >= n), held).otherwise(False)
+
+
 def mean_length_ratio(n: Column, x: Column, y: Column) -> Column:
     total = F.length(x) + F.length(y)
     return F.when(total > 0, 2 * n / total).otherwise(F.lit(0.0))

@@ -366,3 +366,21 @@ def test_alike_names_of_airports_and_countries_shuffle_no_pairs(spark):
     for found in (targeted.airports(df), targeted.in_country(df)):
         assert found.count() == found.distinct().count() > 0
         assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_names_measures_only_pairs_that_can_be_alike(spark):
+    from samewise.functions import similarity
+    from samewise.operators import targeted
+
+    rnd = random.Random(41)
+    rows = [(i, "".join(rnd.choice("abcd "[: rnd.choice([2, 5])]) for _ in range(rnd.choice([0, 1, 3, 9, 40]))) if i % 20 else (None, "xyzw")[i % 40 > 0], 2 + i % 2, 1 + i % 7 / 100, 2.0) for i in range(160)]
+    df = spark.createDataFrame(rows, "id long, name string, country int, latitude double, longitude double")
+    want, longest = set(), similarity.longest_substring
+    for i, x, c, *_ in rows:
+        for j, y, d, *_ in rows[i + 1 :]:
+            if c == d and x and y and (len(x) >= 4 and len(y) >= 4 and (x[:4] in y or y[:4] in x) or 4 * longest(x, y) >= len(x) + len(y)):
+                want.add((i, j))
+    found = targeted.near_with_like_name(df)
+    assert {tuple(r) for r in found.collect()} == want and 100 < len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "exists" in plan[plan.index("ArrowEvalPython") :]  # a filter below the kernel
