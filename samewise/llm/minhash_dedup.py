@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.words import Words, mix, record_batch, run_hashes, slices
+from samewise.llm.words import KERNEL_BYTES, Words, mix, record_batch, run_hashes, slices
 from samewise.operators.graph import components
 from samewise.session import drop_written, written
 
@@ -122,7 +122,7 @@ def sketches(words: int, bands: int, rows: int, weighted: bool):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = TaskContext.get().partitionId() << 36
-        for table in slices(batches):
+        for table in slices(batches, most_bytes=KERNEL_BYTES):
             h, t, count = shingle_sets(table["text"], words)
             n = table.num_rows
             ranks = dart_minhash(h, count.astype(float) if weighted else np.ones(len(h)), t, n, k)
@@ -341,7 +341,7 @@ def shingle_blobs(words: int, weighted: bool = False):
     """32-bit hashes of each text's shingles, each once; with weighted, the n-th occurrence of a shingle has its own hash."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(unzipped(batches)):
+        for table in slices(unzipped(batches), most_bytes=KERNEL_BYTES):
             h, t, count = shingle_sets(table["text"], words)
             if weighted:
                 nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)

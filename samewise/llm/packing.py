@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.llm.words import Words, record_batch, slices
+from samewise.llm.words import KERNEL_BYTES, Words, record_batch, slices
 from samewise.session import written
 
 CAPACITY = 4096
@@ -119,7 +119,7 @@ def pieces(path: str, capacity: int = CAPACITY, end_id: int = END_ID, encoder: C
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, task = WordCache(encoder(path)), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far
-        for table in slices(batches, most_bytes=4 << 20):
+        for table in slices(batches, most_bytes=KERNEL_BYTES):
             flat, bounds = cache.ids(Words(table["text"]))
             rows: list[tuple] = []
             for doc, a, b in zip(table["doc_id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from samewise.llm.words import SPACE, Words, mix, record_batch, slices, word_hashes
+from samewise.llm.words import KERNEL_BYTES, SPACE, Words, mix, record_batch, slices, word_hashes
 
 #: Bound of the sample that the linear scorer is trained on; documents are chosen by a hash of their text.
 TRAIN_DOCS = 10_000
@@ -178,14 +178,14 @@ class QualityModel:
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in slices(batches):
+    for table in slices(batches, most_bytes=KERNEL_BYTES):
         code, n = np.unique(votes(measures(Words(table["text"]))) @ POWERS, return_counts=True)
         yield record_batch(["pattern", "n"], [code.astype(np.int64), n.astype(np.int64)])
 
 
 def _examples(labels: LabelModel):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(batches):
+        for table in slices(batches, most_bytes=KERNEL_BYTES):
             words = Words(table["text"])
             values = measures(words)
             t, k, w = features(words, values)
@@ -239,7 +239,7 @@ def quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(batches):
+        for table in slices(batches, most_bytes=KERNEL_BYTES):
             score, posterior = held.value.score(Words(table["text"]))
             for name, column in (("score", score), ("label_posterior", posterior), ("predicted", (score >= 0.5).astype(np.int32))):
                 table = table.append_column(name, pa.array(column))

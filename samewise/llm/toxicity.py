@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from samewise.llm.words import Words, record_batch, slices, word_hashes
+from samewise.llm.words import KERNEL_BYTES, Words, record_batch, slices, word_hashes
 from samewise.session import drop_written, written
 
 #: Labelled documents, at most, that the model is fitted on.
@@ -128,7 +128,7 @@ class ToxicityModel:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Toxic and other documents that hold a word of each slot (with the beginning's slot), and a beginning of each slot."""
-    for table in slices(batches):
+    for table in slices(batches, most_bytes=KERNEL_BYTES):
         words = Words(table["text"], plain=True)
         toxic = table["toxic"].to_numpy().astype(np.int64)
         word, begin = slots(words)
@@ -148,7 +148,7 @@ def _greatest(tokens: Tokens):
     """Of each document toxic, its words and the greatest segment (0: none); counts of token scores once for a batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(batches):
+        for table in slices(batches, most_bytes=KERNEL_BYTES):
             words = Words(table["text"], plain=True)
             scores = tokens(words)
             rows = [(n, max((s for _, _, s in found), default=0.0)) for n, found in text_segments(words, scores)]
@@ -160,7 +160,7 @@ def _greatest(tokens: Tokens):
 
 def _statistics(tokens: Tokens, law: Calibration):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(batches):
+        for table in slices(batches, most_bytes=KERNEL_BYTES):
             words = Words(table["text"], plain=True)
             rows = [law.statistics(n, found) for n, found in text_segments(words, tokens(words))]
             yield record_batch(["toxic", "most", "all"], [table["toxic"].combine_chunks(), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64())])
@@ -250,7 +250,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for table in slices(batches):
+        for table in slices(batches, most_bytes=KERNEL_BYTES):
             words = Words(table["text"], plain=True)
             scores = [m.calibration.score(n, s) for n, s in text_segments(words, m.tokens(words))]
             for b in table.append_column("score", pa.array(scores, pa.float64())).select(arrow.names).to_batches():

@@ -15,6 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 BASE = 0x9E6C63D0876A9A35 | 1
+#: Text that the kernels of scores, signatures and pieces take at once: their arrays are up to seventy times as much, in each Python worker.
+KERNEL_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 

@@ -2,13 +2,16 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from samewise.llm import minhash_dedup
 from samewise.llm import quality as q
 from samewise.llm import toxicity as t
 from samewise.llm.words import Words
@@ -238,3 +241,24 @@ def test_the_counts_that_toxicity_brings_to_the_driver_are_narrow(spark, monkeyp
     t.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     counts = [x for x in seen if "slot" in x]
     assert len(counts) == 1 and sum(width[x] for x in counts[0].values()) <= 17
+
+
+@pytest.mark.parametrize("kernel", ["patterns", "examples", "counts", "greatest", "sketches"])
+def test_kernels_hold_little_of_a_large_batch(kernel, monkeypatch):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(5000)]
+    n = 4000
+    text = [" ".join(rnd.choices(words, k=400)) for _ in range(n)]
+    ids = pa.array(range(n), pa.int64())
+    batch = pa.RecordBatch.from_pydict({"text": text, "h": ids, "doc_id": ids, "text_hash": ids, "toxic": pa.array([i % 5 == 0 for i in range(n)]).cast(pa.int32())})
+    tokens = t.Tokens(np.full(t.WORD_SLOTS, -1.0, np.float32), np.full(t.START_SLOTS, -1.0, np.float32), -1.5)
+    labels = q.expectation_maximisation(np.ones((1, len(q.LABELLERS)), int), np.ones(1))
+    monkeypatch.setattr(minhash_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    work = {"patterns": q._patterns, "examples": q._examples(labels), "counts": t._counts, "greatest": t._greatest(tokens), "sketches": minhash_dedup.sketches(5, 24, 5, False)}[kernel]
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in work(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows and most < 90e6, most
