@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.functions import geo, similarity, text
-from samewise.operators import blocking, tfidf
+from samewise.operators import blocking, near, tfidf
 from samewise.operators.features import sides
 
 # Fixed values that results depend on.
@@ -89,11 +89,16 @@ def shared_buckets(entities: DataFrame, buckets: Mapping[str, int], rare: int =
     return pairs.where(km() <= base + F.when(same & (F.length("name_1") >= 10), 15).otherwise(0)).select("id_1", "id_2")
 
 
-def near_with_like_name(entities: DataFrame, countries: Sequence[int] = (2, 3), k: int = 400, degrees: float = 0.12) -> DataFrame:
-    """The k nearest places of the country within so many degrees (the place itself counts as one) whose names begin inside one another or share half their mean length."""
+def near_with_like_name(entities: DataFrame, countries: Sequence[int] = (2, 3), k: int | None = 400, degrees: float = 0.12) -> DataFrame:
+    """The k nearest places of the country within so many degrees (the place itself counts as one) whose names begin inside one another or share half their mean length.
+
+    All places within the distance if k is None: then no pair is shuffled.
+    """
     rows = entities.where(F.col("country").isin(*countries))
-    near = blocking.nearest_places(rows, "id", "latitude", "longitude", ["country"], k - 1, degrees).select("id_1", "id_2")
-    pairs = sides(blocking.canonical(near), rows, "id", ["name"])
+    if k is None:
+        return near.alike_within(rows, degrees)
+    nearest = blocking.nearest_places(rows, "id", "latitude", "longitude", ["country"], k - 1, degrees).select("id_1", "id_2")
+    pairs = sides(blocking.canonical(nearest), rows, "id", ["name"])
     a, b = F.col("name_1"), F.col("name_2")
     begins = similarity.begins_inside(a, b) == 1
     # the kernel takes about a millisecond for two long names, so it sees only pairs that can reach the share and don't stay anyway

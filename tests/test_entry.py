@@ -58,3 +58,9 @@ def test_digits_are_taken_from_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("sorted_neighbour_digits_whole", "bucket_pairs_capped_whole"):
         assert [(r["id_1"], r["id_2"]) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
+def test_near_names_of_a_point_with_many_places(spark, tmp_path):
+    rows = [(i * 200, "même nom", "fr", "s") for i in range(460)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["near_names"](spark, str(tmp_path)).count() == 460 * 459 // 2

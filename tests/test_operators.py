@@ -384,3 +384,28 @@ def test_near_names_measures_only_pairs_that_can_be_alike(spark):
     assert {tuple(r) for r in found.collect()} == want and 100 < len(want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "exists" in plan[plan.index("ArrowEvalPython") :]  # a filter below the kernel
+
+
+def test_near_names_are_whole_and_shuffle_no_pairs(spark, monkeypatch):
+    from samewise.functions.similarity import longest_substring
+    from samewise.operators import near, targeted
+
+    rnd = random.Random(43)
+    name = lambda kinds: "".join(rnd.choice("abcde é"[: kinds]) for _ in range(rnd.choice([0, 1, 2, 3, 6, 9, 40, 80])))
+    rows = [(i, name(rnd.choice([2, 2, 4, 7])) if i % 23 else (None, "xyzw", "xyz", "é")[i % 4], (2, 2, 2, 3, 4, None)[rnd.randint(0, 5)], round(rnd.uniform(-0.2, 0.2), 2), rnd.choice([-0.12, 0.0, 0.12, 0.24, 0.36]) if i % 31 else None) for i in range(260)]
+    df = spark.createDataFrame(rows, "id long, name string, country int, latitude double, longitude double").repartition(3)
+    want = set()
+    for i, x, c, lat, lon in rows:
+        for j, y, d, lat_2, lon_2 in rows[i + 1 :]:
+            if c == d and c in (2, 3) and x and y and None not in (lon, lon_2) and math.sqrt((lat - lat_2) ** 2 + (lon - lon_2) ** 2) <= 0.12:
+                if len(x) >= 4 and len(y) >= 4 and (x[:4] in y or y[:4] in x) or 4 * longest_substring(x, y) >= len(x) + len(y):
+                    want.add((i, j))
+    for block, meetings in ((1024, 16), (5, 3)):
+        monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "MEETINGS", meetings)
+        found = targeted.near_with_like_name(df, k=None)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "ArrowEvalPython" not in plan and "hashpartitioning(id" not in plan
+    assert targeted.near_with_like_name(df.where("false"), k=None).count() == 0
