@@ -409,3 +409,21 @@ def test_near_names_are_whole_and_shuffle_no_pairs(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "ArrowEvalPython" not in plan and "hashpartitioning(id" not in plan
     assert targeted.near_with_like_name(df.where("false"), k=None).count() == 0
+
+
+def test_alike_texts_in_an_order_make_alike_blocks(spark, monkeypatch):
+    rnd = random.Random(47)
+    rows = [(i, " ".join(f"{'abc'[i % 3]}w{int(rnd.random() ** 2 * 30)}" for _ in range(rnd.randint(0, 12))), "xyz"[i % 3]) for i in range(200)] + [(300, None, None), (301, "common", "x")]
+    df = spark.createDataFrame(rows, "id long, t string, lang string")
+    terms = tfidf.words(F.col("t"))
+    want = {(r["id_1"], r["id_2"]): round(r["sim"], 9) for r in tfidf.neighbours(tfidf.weights(df, "id", terms), "id", 0.45).collect()}
+    monkeypatch.setattr(tfidf, "BLOCK", 5)  # so that the driver deals texts over ten partitions, each a block at least
+    held, write = [], tfidf.written
+    monkeypatch.setattr(tfidf, "written", lambda made, name: held.append(write(made, name)) or held[-1])
+    monkeypatch.setattr(tfidf, "drop_written", lambda made: None)
+    found = tfidf.alike(df, "id", terms, 0.45, order=[F.col("lang"), F.length("t")])
+    got = [(r["id_1"], r["id_2"], round(r["sim"], 9)) for r in found.collect()]
+    assert len(got) == len(want) > 100 and {(a, b): s for a, b, s in got} == want
+    lang = {i: l for i, _, l in rows}
+    blocks = [pa.ipc.open_stream(b["rows"]).read_all()["id"].to_pylist() for b in held[0].collect()]
+    assert sum(len({lang[i] for i in ids}) == 1 for ids in blocks) > 5  # most blocks are of one language
